@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,13 +18,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     one_way = edges.where("src is not null and dst is not null and src != dst").select("src", "dst")
     both = materialize(one_way.union(one_way.select("dst", "src")).toDF("a", "b").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    table = labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     for _ in range(rounds):
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("component").alias("old"), F.least("component", "heard").alias("near"))
         far = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
         following = materialize(nearer.join(far, "near", "left").select("node", "old", F.least("near", "far").alias("component")), "labels")
-        labels = following.select("node", "component")
+        discard(table)
+        table, labels = following, following.select("node", "component")
         if following.where("old != component").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -23,13 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's switch for removing a query's shuffle files as soon as the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
     Cuts the lineage like ``checkpoint()``, survives lost executors, and gives
-    later joins real table sizes and column pruning.
+    later joins real table sizes and column pruning. The shuffle files of the write
+    go with it: nothing reads them again once the table stands.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vestigia/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vestigia_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialized tables that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "_vestigia_path", None)
+        if path is not None:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
