@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.storage import materialize
+from ..plans.storage import discard, materialize
 
 #: A class of sizes reaches from b to GROWTH * b.
 GROWTH = 1.6
@@ -299,7 +299,7 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
         _signed(documents, id_col, text_col, words, t).withColumn("shared", met).where(F.col("sig").isNull() | F.col("shared")).select("doc", "n", "key", "sig"),
         "signed",
     )
-    sets = active.where(F.col("sig").isNull()).select("doc", "n", "key")
+    sets = materialize(active.where(F.col("sig").isNull()).select("doc", "n", "key"), "documents")
     heads = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("head")), "heads")
     listed = active.where(F.col("sig").isNotNull()).select("sig", "doc").join(heads.select(F.col("head").alias("doc")), "doc", "left_semi")
     shared = listed.groupBy("doc").agg(F.count("sig").alias("n_shared"))
@@ -309,14 +309,17 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
         .select("doc", F.struct((-F.col("n_shared") / F.col("n")).alias("share"), "doc").alias("rank"))
     )
     ranked = materialize(listed.join(central, "doc"), "ranked")
+    discard(active)
     leaders = ranked.groupBy("sig").agg(F.min("rank").alias("first"), F.max("doc").alias("a"), F.min("doc").alias("b")).where("a != b")
     leaders = materialize(leaders.select("sig", F.col("first.doc").alias("leader")), "leaders")
     pairs = materialize(ranked.select("sig", "doc").join(leaders, "sig").where("leader != doc").select("leader", "doc").distinct(), "pairs")
+    discard(ranked, leaders)
     wanted = pairs.select("doc").union(pairs.select(F.col("leader").alias("doc"))).distinct()
     elements = materialize(_sets(documents, wanted, id_col, text_col, words), "sets")
     with_doc = materialize(pairs.join(elements.select("doc", F.col("elements").alias("b")), "doc"), "with-doc")
     both = with_doc.join(elements.select(F.col("doc").alias("leader"), F.col("elements").alias("a")), "leader")
     stars = materialize(_compare(both, percent), "stars")
+    discard(with_doc, elements, pairs)
     links = stars.where("linked").select(F.col("leader").alias("src"), F.col("doc").alias("dst"))
     known = connected_components(links)
     more = _rest(stars, known, percent)
@@ -324,6 +327,7 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
         known = connected_components(links.union(more))
     of_head = heads.join(known, F.col("head") == F.col("node"), "left").select("key", F.coalesce("component", "head").alias("component_id"))
     of_head = materialize(of_head, "components")
+    discard(stars, heads)
     out = sets.join(of_head, "key", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
     )
