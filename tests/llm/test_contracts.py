@@ -135,7 +135,7 @@ def test_op9_equals_the_library(spark):
             assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want, given[r.doc_id]
 
 
-@pytest.mark.parametrize("name", sorted(k for k in QUERIES if k != "op6_decontamination"))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, name, tmp_path):
     for table in ("documents", "pages", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
