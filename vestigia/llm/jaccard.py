@@ -7,9 +7,12 @@ reach the threshold share at least one:
   ``n - ceil(t * n) + 2`` elements in hash order; two similar sets share two of them;
 * large sets (heavy): an inverted list for each of m slices of the hash space, where
   the set enters by what it holds in that slice. Two similar sets of a size class
-  differ in at most d elements, so of m > d slices some are equal. A list is thus
-  keyed by a handful of elements together, and passages that many documents share
-  don't make long lists, unlike a list for each element.
+  differ in at most d elements, so of m = 2 * d + 2 slices more than half are equal.
+
+Sets then have a number of signatures to share with others before they are looked at:
+a set that differs from its partner in at most d elements shares all but d of its
+slices. Documents that have only a passage in common share fewer and are left out,
+exactly and before any set is fetched.
 
 ``boundary`` chooses where small ends, by the signatures that either way costs.
 Sets near the boundary, or near the upper end of a size class, enter both.
@@ -39,7 +42,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -50,6 +53,8 @@ GROWTH = 1.6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words that a worker remembers.
 CACHED = 500_000
+#: How often signatures are counted anew after documents fell short; more rounds only save comparisons.
+ROUNDS = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,53 +106,55 @@ def size_class(n: int, start: int) -> tuple[int, int, int]:
     return i, low, high
 
 
-@lru_cache(maxsize=None)
-def slices(low: int, high: int, t: float) -> tuple[int, int]:
-    """Number of slices for sizes below ``high``, and how many of a set's may be empty without harm."""
-    d = differing(2 * (high - 1), t)
-    spare = 1 + math.ceil(0.02 * d)
-    return d + 1 + spare, spare
+def slices(high: int, t: float) -> int:
+    """Number of slices for sizes below ``high``: twice as many as can differ, and two."""
+    return 2 * differing(2 * (high - 1), t) + 2
 
 
 @lru_cache(maxsize=None)
 def boundary(t: float) -> int:
     """The smallest size at which slices cost fewer signatures than pairs."""
     n = 6
-    while math.comb(first_of(n, t, 2), 2) <= slices(n, math.ceil(n * GROWTH), t)[0]:
+    while math.comb(first_of(n, t, 2), 2) <= slices(math.ceil(n * GROWTH), t):
         n += 1
     return n
 
 
-def signatures(s: np.ndarray, t: float) -> np.ndarray:
-    """Signatures of a set, each 64 bits."""
+def signatures(s: np.ndarray, t: float) -> list[tuple[int, np.ndarray]]:
+    """Signatures of a set in each part that it enters, each 64 bits, with how many of them it must share there.
+
+    A set whose full slices could all differ from a similar set's gets one more
+    signature, the same for all such sets of the size class, and must share only one.
+    """
     n, edge = len(s), boundary(t)
     out = []
     if n and n * t < edge:  # its partners may be small
         head = s[: first_of(n, t, 2)]
         if len(head) >= 2:
             i, j = np.triu_indices(len(head), 1)
-            out.append(_mix(head[i] * np.uint64(5) + _mix(head[j])))
+            out.append((1, _mix(head[i] * np.uint64(5) + _mix(head[j]))))
         else:
-            out.append(_mix(head + np.uint64(11)))
+            out.append((1, _mix(head + np.uint64(11))))
     if n >= edge:
         i, low, high = size_class(n, edge)
-        classes = [(i, low, high)]
+        classes = [(i, high)]
         if math.ceil(high * t - 1e-9) <= n:  # its partners may be in the next class
-            classes.append(size_class(high, edge))
+            i, low, high = size_class(high, edge)
+            classes.append((i, high))
         scrambled = _mix(s)
-        for number, low, high in classes:
-            m, spare = slices(low, high, t)
+        for number, high in classes:
+            m = slices(high, t)
             step = (1 << 64) // m
             starts = np.searchsorted(s, np.arange(m, dtype=np.uint64) * np.uint64(step))
-            ends = np.append(starts[1:], n)
-            full = ends > starts
+            full = np.append(starts[1:], n) > starts
             salt = np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             place = np.flatnonzero(full).astype(np.uint64)
-            out.append(_mix(np.add.reduceat(scrambled, starts[full]) + _mix(place + salt)))
-            if m - len(place) > spare:
-                gaps = np.flatnonzero(~full).astype(np.uint64)
-                out.append(_mix(_mix(gaps + salt) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            found = _mix(np.add.reduceat(scrambled, starts[full]) + _mix(place + salt))
+            need = len(found) - differing(n + min(high - 1, math.floor(n / t + 1e-9)), t)
+            if need < 1:
+                found = np.append(found, _mix(np.array([salt ^ np.uint64(0xA5A5A5A5A5A5A5A5)], np.uint64)))
+            out.append((max(need, 1), found))
+    return out
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -160,27 +167,30 @@ ALONE, FIRST, REPEATED = 0, 1, 2
 
 
 def _signed(documents: DataFrame, id_col: str, text_col: str, k: int, t: float) -> DataFrame:
-    """Two kinds of rows: (doc, n, key) for each document, (doc, sig, local) for each signature.
+    """Two kinds of rows: (doc, n, key) for each document, (doc, sig, due, local) for each signature.
 
-    local tells whether the signature repeats among those held together: what is
-    REPEATED is known to be shared and need not meet the others, so a signature of a
-    large group goes to one place only once for each stretch of input.
+    due is 4 * the number of signatures to share + the number of the part. local
+    tells whether the signature repeats among those held together: what is REPEATED
+    is known to be shared and need not meet the others, so a signature of a large
+    group goes to one place only once for each stretch of input.
     """
-    names = ["doc", "n", "key", "sig", "local"]
+    names = ["doc", "n", "key", "sig", "due", "local"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        sigs, owner, held = [], [], 0
+        sigs, owner, dues, held = [], [], [], 0
 
         def flush():
-            sig, doc = np.concatenate(sigs).view(np.int64), np.concatenate(owner)
-            _, first, place, count = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
-            local = np.where(count[place] > 1, REPEATED, ALONE).astype(np.int8)
-            local[first[count > 1]] = FIRST
+            sig, doc, due = np.concatenate(sigs).view(np.int64), np.concatenate(owner), np.concatenate(dues)
+            order = np.argsort(sig, kind="stable")
+            again = sig[order[1:]] == sig[order[:-1]]
+            before, after = np.append(False, again), np.append(again, False)
+            local = np.empty(len(sig), np.int8)
+            local[order] = np.where(before, REPEATED, np.where(after, FIRST, ALONE))
             for i in range(0, len(sig), 50_000):
                 part = slice(i, i + 50_000)
                 m = len(sig[part])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(sig[part]), pa.array(local[part])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(sig[part]), pa.array(due[part]), pa.array(local[part])], names)
 
         for batch in batches:
             n, key = [], []
@@ -188,20 +198,51 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, k: int, t: float)
                 s = shingles(text.as_py(), k, known)
                 n.append(len(s))
                 key.append(_digest(s))
-                if len(s):
-                    sigs.append(signatures(s, t))
-                    owner.append(np.full(len(sigs[-1]), doc, np.int64))
-                    held += len(sigs[-1])
-                    if held > HELD:
-                        yield from flush()
-                        sigs, owner, held = [], [], 0
+                for number, (need, found) in enumerate(signatures(s, t)):
+                    sigs.append(found)
+                    owner.append(np.full(len(found), doc, np.int64))
+                    dues.append(np.full(len(found), 4 * need + number, np.int64))
+                    held += len(found)
+                if held > HELD:
+                    yield from flush()
+                    sigs, owner, dues, held = [], [], [], 0
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int8())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int8())], names)
         if sigs:
             yield from flush()
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc long, n long, key binary, sig long, local byte")
+    return rows.mapInArrow(work, "doc long, n long, key binary, sig long, due long, local byte")
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """(sig, doc, due) of the signatures that may be shared: neighbours in hash order are compared."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_met = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            sig = batch.column(0).to_numpy()
+            again = sig[1:] == sig[:-1]
+            met = np.append(last_met, again) | np.append(again, False) | (batch.column(3).to_numpy() != ALONE)
+            last, last_met = batch.slice(len(sig) - 1), bool(met[-1])
+            met[-1] = False
+            yield batch.select([0, 1, 2]).filter(pa.array(met))
+        if last is not None and last_met:
+            yield last.select([0, 1, 2])
+
+    rows = signed.where(F.col("sig").isNotNull()).select("sig", "doc", "due", "local")
+    ordered = rows.where(F.col("local") != REPEATED).repartition("sig").sortWithinPartitions("sig")
+    return ordered.mapInArrow(work, "sig long, doc long, due long").union(rows.where(F.col("local") == REPEATED).drop("local"))
+
+
+def _due(listed: DataFrame) -> DataFrame:
+    """Rows of the parts in which a document shares as many signatures as a link takes."""
+    enough = listed.groupBy("doc", "due").count().where("count >= due div 4").select("doc", "due")
+    return listed.join(enough, ["doc", "due"], "left_semi").select("sig", "doc", "due")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -292,16 +333,19 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
     reach, itself included.
     """
     t = percent / 100
-    meeting = [F.coalesce("sig", F.xxhash64("doc", F.lit(1))), F.when(F.col("local") == REPEATED, F.col("doc")), F.col("sig").isNull()]
-    same = Window.partitionBy(*meeting)
-    met = (F.min("doc").over(same) != F.max("doc").over(same)) | (F.col("local") != ALONE)
-    active = materialize(
-        _signed(documents, id_col, text_col, words, t).withColumn("shared", met).where(F.col("sig").isNull() | F.col("shared")).select("doc", "n", "key", "sig"),
-        "signed",
-    )
-    sets = materialize(active.where(F.col("sig").isNull()).select("doc", "n", "key"), "documents")
+    signed = materialize(_signed(documents, id_col, text_col, words, t), "signed")
+    sets = materialize(signed.where(F.col("sig").isNull()).select("doc", "n", "key"), "documents")
     heads = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("head")), "heads")
-    listed = active.where(F.col("sig").isNotNull()).select("sig", "doc").join(heads.select(F.col("head").alias("doc")), "doc", "left_semi")
+    met = materialize(_met(signed), "met")
+    discard(signed)
+    listed = materialize(_due(met).join(heads.select(F.col("head").alias("doc")), "doc", "left_semi"), "listed")
+    discard(met)
+    # Copies are gone now, and documents that fell short: what only they shared no longer counts.
+    for _ in range(ROUNDS):
+        kept = listed.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("sig")
+        fewer = materialize(_due(listed.join(kept, "sig", "left_semi")), "listed")
+        discard(listed)
+        listed = fewer
     shared = listed.groupBy("doc").agg(F.count("sig").alias("n_shared"))
     central = (
         sets.join(heads.select(F.col("head").alias("doc")), "doc", "left_semi")
@@ -309,17 +353,16 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
         .select("doc", F.struct((-F.col("n_shared") / F.col("n")).alias("share"), "doc").alias("rank"))
     )
     ranked = materialize(listed.join(central, "doc"), "ranked")
-    discard(active)
+    discard(listed)
     leaders = ranked.groupBy("sig").agg(F.min("rank").alias("first"), F.max("doc").alias("a"), F.min("doc").alias("b")).where("a != b")
     leaders = materialize(leaders.select("sig", F.col("first.doc").alias("leader")), "leaders")
     pairs = materialize(ranked.select("sig", "doc").join(leaders, "sig").where("leader != doc").select("leader", "doc").distinct(), "pairs")
     discard(ranked, leaders)
     wanted = pairs.select("doc").union(pairs.select(F.col("leader").alias("doc"))).distinct()
     elements = materialize(_sets(documents, wanted, id_col, text_col, words), "sets")
-    with_doc = materialize(pairs.join(elements.select("doc", F.col("elements").alias("b")), "doc"), "with-doc")
-    both = with_doc.join(elements.select(F.col("doc").alias("leader"), F.col("elements").alias("a")), "leader")
+    both = pairs.join(elements.select("doc", F.col("elements").alias("b")), "doc").join(elements.select(F.col("doc").alias("leader"), F.col("elements").alias("a")), "leader")
     stars = materialize(_compare(both, percent), "stars")
-    discard(with_doc, elements, pairs)
+    discard(elements, pairs)
     links = stars.where("linked").select(F.col("leader").alias("src"), F.col("doc").alias("dst"))
     known = connected_components(links)
     more = _rest(stars, known, percent)
