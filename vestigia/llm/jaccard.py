@@ -51,8 +51,6 @@ from ..plans.storage import discard, materialize
 #: A class of sizes reaches from b to GROWTH * b.
 GROWTH = 1.6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Words that a worker remembers.
-CACHED = 500_000
 #: How often signatures are counted anew after documents fell short; more rounds only save comparisons.
 ROUNDS = 2
 
@@ -64,28 +62,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """64-bit hashes of words."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _odd(at: np.ndarray) -> np.ndarray:
+    """Odd factors, one for each place."""
+    return _mix(at.astype(np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
-def shingles(text: str | None, k: int, known: Words) -> np.ndarray:
+
+def shingles(text: str | None, k: int) -> np.ndarray:
     """Distinct hashes of the k-word sequences, ascending; A-Z are lower-cased, words end at ASCII white space."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
+    data = np.frombuffer((text or "").encode().lower(), np.uint8)
+    inside = ~_SPACE[data]
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    n = len(starts)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+    long = ends - starts
+    first = np.cumsum(long) - long
+    place = np.arange(first[-1] + long[-1]) - np.repeat(first, long)
+    h = _mix(np.add.reduceat(_BYTE[data[inside]] * _odd(np.arange(long.max()))[place], first) + long.astype(np.uint64))
     size = min(n, k)
+    factors = _odd(np.arange(size) + 1_000_003)
     mixed = np.zeros(n - size + 1, np.uint64)
     for i in range(size):
-        mixed = _mix(mixed * np.uint64(3) + h[i : n - size + 1 + i])
-    return np.unique(mixed)
+        mixed += h[i : n - size + 1 + i] * factors[i]
+    mixed = np.sort(_mix(mixed))
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
 def differing(n: int, t: float) -> int:
@@ -177,7 +183,6 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, k: int, t: float)
     names = ["doc", "n", "key", "sig", "due", "local"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         sigs, owner, dues, held = [], [], [], 0
 
         def flush():
@@ -195,7 +200,7 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, k: int, t: float)
         for batch in batches:
             n, key = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py(), k, known)
+                s = shingles(text.as_py(), k)
                 n.append(len(s))
                 key.append(_digest(s))
                 for number, (need, found) in enumerate(signatures(s, t)):
@@ -249,9 +254,8 @@ def _sets(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     """(doc, elements) of the documents in ``wanted``, elements as packed 64-bit hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
-            out = [shingles(x.as_py(), k, known).tobytes() for x in batch.column(1)]
+            out = [shingles(x.as_py(), k).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "elements"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
