@@ -87,6 +87,17 @@ def test_op6_finds_items_and_changed_numbers(spark):
     assert {i: any(r.contaminated for r in rows if r.doc_id == i) for i in range(6)} == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
 
 
+def shares(spark, items, texts):
+    benchmark = spark.createDataFrame(list(enumerate(items, 1)), "item_id bigint, text string")
+    return {r.doc_id: (r.item_id, r.n_hits, r.n_item_windows, r.contaminated) for r in decontamination.judge(hard_docs(spark, texts), benchmark).collect()}
+
+
+def test_op6_verbatim_passages_in_any_case(spark):
+    item = "Él pregunta qué día sale Ángela hacia la estación größer y cuándo llega Bruno con su perro"
+    rows = shares(spark, [item], [item.upper(), item.lower(), f"junk {item.upper()} junk", "other words " * 20])
+    assert [rows[i][1:3] for i in range(3)] == [(10, 10)] * 3 and not rows[3][3]
+
+
 def test_op7_held_out_accuracy(spark):
     rows = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}

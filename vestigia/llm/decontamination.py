@@ -1,111 +1,150 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, names and units turn into typed placeholders,
-letters are lower-cased and punctuation falls away. Windows of ``window`` template
-words of documents are hash-joined with those of the benchmark, so a question with
-other numbers or names is still found. Where a window holds placeholders, the words
-that filled them are compared: along one alignment of a passage with an item, each
-filling of the item must answer to one filling of the document throughout, else the
-alignment is a coincidence of form and is left out. A document is contaminated by an
-item when the windows of the alignments that remain cover ``percent`` of the item's.
-
-Defined cases: null and empty texts match nothing; items without template words are
-ignored; items shorter than a window are taken as one window of their own length, with
-``least`` words at least; items of the same template stand under the smallest id;
-repeated documents are judged each for itself; rows with a null id are never
-contaminated. The best item is that of the highest share, then of the smallest id.
+Texts become templates: numbers, names and units turn into typed placeholders, case is
+folded and punctuation falls away. Windows of ``window`` template words of documents are
+hash-joined with those of the benchmark, so a question with other numbers or names is
+still found; windows of plain words are joined beside them, so verbatim passages need no
+placeholder. Each alignment of a passage with an item that a window tells of is compared
+with the whole item: a word fits that is the same or fills a placeholder of its kind.
+Along an alignment each filling of the item must answer to one filling of the document;
+windows that hold one with two answers are left out unless they are verbatim. A document
+is contaminated by an item when the windows that remain cover ``percent`` of the item's.
+
+Defined cases: null and empty texts match nothing; items without words are ignored;
+items shorter than a window are taken as one window of their own length, those of fewer
+than ``least`` words without placeholders; items of the same template and words stand
+under the smallest id; repeated documents are judged each for itself; rows with a null
+id are never contaminated. The best item is that of the highest share, then of the
+smallest id.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
+
 #: Units of measure that a number may carry; fixed values.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "kmh", "mph", "usd", "eur", "percent", "dollars", "euros", "hours", "minutes", "seconds", "days", "weeks", "years", "meters", "miles")
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Benchmark windows that may be broadcast; above it the join shuffles.
 BROADCAST_WINDOWS = 500_000
 
 
-def _spaced(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03\x20\x09-\x0D]+", " "))
+def _bare(text: Column) -> Column:
+    """The text without placeholders and punctuation, a space before each word, letters as they were."""
+    clean = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), r"[\x01-\x03!-/:-@\[-`{-~]+", "")
+    return F.rtrim(F.regexp_replace(clean, r"[\x20\x09-\x0D]+", " "))
 
 
-def _plain(text: Column) -> Column:
-    """A-Z lower-cased, punctuation gone, words one space apart."""
-    bare = F.regexp_replace(text, r"[!-/:-@\[-`{-~]+", "")
-    return F.trim(F.regexp_replace(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), " +", " "))
+def _folded(text: Column) -> Column:
+    """Case-folded, also the sharp s and the final sigma, which capitals spell otherwise."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
 
 
-def _template(text: Column) -> Column:
-    """The template of a text that ``_spaced`` has prepared, its words one space apart.
+def _template(bare: Column) -> Column:
+    """The template of a text that ``_bare`` has prepared.
 
-    A name is a word of a capital and a small letter that doesn't follow the end of a
-    sentence; a number is a word of digits, with or without a unit; a unit follows one.
+    A name is a word of a capital and a small letter, wherever it stands; a number is a
+    word of digits, with or without a unit; a unit follows one.
     """
     units = "|".join(UNITS)
-    named = F.regexp_replace(text, r"(?<=[^.!?: ] )[A-Z][a-z][^ ]*", NAME)
-    numbered = F.regexp_replace(_plain(named), rf"(?<![^ ])[0-9]+(?:{units})?(?![^ ])", NUMBER)
-    return F.regexp_replace(numbered, rf"(?<={NUMBER} )(?:{units})(?![^ ])", UNIT)
+    named = _folded(F.regexp_replace(bare, r" \p{Lu}\p{Ll}[^ ]*", f" {NAME}"))
+    numbered = F.regexp_replace(named, rf" [0-9]+(?:{units})?(?![^ ])", f" {NUMBER}")
+    return F.when(bare.rlike(" [0-9]"), F.regexp_replace(numbered, rf"{NUMBER} (?:{units})(?![^ ])", f"{NUMBER} {UNIT}")).otherwise(named)
 
 
 def _words(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(text, F.lit(2)), " "))
 
 
 def templated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, template, plain): word arrays of equal length, plain holding what fills the placeholders."""
-    rows = df.select(F.col(id_col).alias("id"), _spaced(F.col(text_col)).alias("_s"))
-    rows = rows.select("id", _words(_template(F.col("_s"))).alias("template"), _words(_plain(F.col("_s"))).alias("plain"))
-    return rows
-
-
-def windows(rows: DataFrame, size: int) -> DataFrame:
-    """(id, at, hash, fill) of all windows; fill holds the plain words of those with placeholders."""
-    slots = F.exists("template", lambda w: w.isin(NAME, NUMBER, UNIT))
-    n = F.size("template") - size + 1
-    first = lambda a, i: F.slice(a, i + 1, size)
-    each = F.transform(
-        F.slice("template", F.lit(1), F.greatest(n, F.lit(0))),
-        lambda w, i: F.struct(
-            i.alias("at"),
-            F.xxhash64(first("template", i)).alias("hash"),
-            F.when(F.col("slots") & F.exists(first("template", i), lambda x: x.isin(NAME, NUMBER, UNIT)), F.struct(first("template", i).alias("t"), first("plain", i).alias("p"))).alias("fill"),
-        ),
-    )
-    return rows.withColumn("slots", slots).select("id", F.explode(each).alias("w")).select("id", "w.at", "w.hash", "w.fill")
+    rows = df.select(F.col(id_col).alias("id"), _bare(F.col(text_col)).alias("_s"))
+    rows = rows.select("id", _template(F.col("_s")).alias("_t"), _folded(F.col("_s")).alias("_p"))
+    return rows.select("id", _words(F.col("_t")).alias("template"), _words(F.col("_p")).alias("plain"))
+
+
+def windows(rows: DataFrame, sizes: list[int], least: int) -> DataFrame:
+    """(id, size, at, hash) of all windows of each size, in each of their readings.
+
+    A window is read plainly, with numbers and units as placeholders, with names too, and
+    with all but a name in its first place, where a passage may begin in either case.
+    Windows of fewer than ``least`` words are read plainly only. Hashes of four words each
+    are put together, so that a window costs little more than a word.
+    """
+    rows = rows.select("id", "template", F.transform("plain", lambda w: F.xxhash64(w)).alias("p1"))
+    typed = lambda *kinds: F.zip_with("template", "p1", lambda t, p: F.when(t.isin(*kinds), F.xxhash64(t)).otherwise(p))
+    rows = rows.select("id", "p1", typed(NUMBER, UNIT).alias("n1"), typed(NAME, NUMBER, UNIT).alias("t1"))
+    four = lambda r: F.transform(f"{r}1", lambda h, i: F.xxhash64(h, *(F.get(f"{r}1", i + k) for k in (1, 2, 3)))).alias(f"{r}4")
+    rows = rows.select("*", *(four(r) for r in "pnt"))
+
+    def whole(size: int, first: str, rest: str) -> Column:
+        far = [*range(1, size - 4, 4), size - 4] if size > 4 else range(1, size)
+        parts = lambda i: [F.get(f"{rest}{4 if size > 4 else 1}", i + k) for k in far]
+        return F.transform(F.slice(f"{first}1", F.lit(1), F.greatest(F.size(f"{first}1") - size + 1, F.lit(0))), lambda h, i: F.xxhash64(h, *parts(i)))
+
+    kinds = {size: ("pp", "nn", "tt", "nt") if size >= least else ("pp",) for size in sizes}
+    rows = rows.select("id", *(whole(size, *k).alias(f"{k}{size}") for size in sizes for k in kinds[size]))
+
+    def new(size: int, kind: str, others: tuple[str, ...]) -> Column:
+        """Windows of one reading whose hash no other reading has."""
+        row = lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("at"), h.alias("hash"))
+        if not others:
+            return F.transform(f"{kind}{size}", row)
+        differs = lambda h, i: functools.reduce(Column.__and__, (h != F.get(f"{o}{size}", i) for o in others))
+        return F.filter(F.transform(f"{kind}{size}", lambda h, i: F.when(differs(h, i), row(h, i))), lambda x: x.isNotNull())
+
+    readings = {"pp": (), "nn": ("pp",), "tt": ("nn",), "nt": ("nn", "tt")}
+    found = [new(size, k, readings[k]) for size in sizes for k in kinds[size]]
+    # Outer: else a filter on the sum of all these arrays is made and pushed down into each of them.
+    return rows.select("id", F.explode_outer(F.concat(*found)).alias("w")).select("id", "w.size", "w.at", "w.hash")
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc, item, n_hits, n_item_windows): windows of the item that consistent alignments cover."""
-    items = templated(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col).where(F.size("template") >= least)
-    items = items.groupBy("template").agg(F.min(F.struct("id", "plain")).alias("first")).select(F.col("first.id").alias("id"), "template", F.col("first.plain").alias("plain"))
-    length = F.least(F.size("template"), F.lit(window))
-    items = items.withColumn("length", length)
-    lengths = [r["length"] for r in items.select("length").distinct().collect()]  # from least to window
-    found = None
-    docs = templated(documents.where(F.col(id_col).isNotNull()), id_col, text_col)
-    for size in sorted(lengths):
-        of_items = windows(items.where(F.col("length") == size).drop("length"), size).select(
-            F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", F.col("fill").alias("item_fill")
-        )
-        if of_items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-            of_items = F.broadcast(of_items)
-        part = windows(docs, size).join(of_items, "hash").select(F.col("id").alias("doc"), "item", (F.col("at") - F.col("item_at")).alias("line"), "item_at", "fill", "item_fill")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    items = templated(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col).where(F.size("template") > 0)
+    items = items.groupBy("template", "plain").agg(F.min("id").alias("id")).withColumn("length", F.least(F.size("template"), F.lit(window)))
+    items = materialize(items, "items")
+    sizes = sorted(r["length"] for r in items.select("length").distinct().collect())  # from 1 to window
+    if not sizes:
         return documents.sparkSession.createDataFrame([], "doc long, item long, n_hits long, n_item_windows long")
-    at = ["doc", "item", "line"]
-    paired = F.arrays_zip(F.col("item_fill.t").alias("t"), F.col("item_fill.p").alias("old"), F.col("fill.p").alias("new"))
-    # One row for each window and slot of it; windows without slots have one with nulls.
-    slots = found.select(*at, "item_at", F.explode_outer(F.filter(paired, lambda s: s["t"].isin(NAME, NUMBER, UNIT))).alias("s"))
-    of_line = slots.groupBy(*at, "s.t", "s.old").agg(F.min("s.new").alias("a"), F.max("s.new").alias("b"), F.collect_set("item_at").alias("hits"))
-    lines = of_line.groupBy(*at).agg(F.max(F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("torn"), F.flatten(F.collect_list("hits")).alias("hits")).where("not torn")
-    hits = lines.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hits"))
-    whole = items.select(F.col("id").alias("item"), (F.size("template") - F.col("length") + 1).cast("long").alias("n_item_windows"))
-    return hits.join(whole, "item").select("doc", "item", "n_hits", "n_item_windows")
+    own = functools.reduce(DataFrame.unionByName, (windows(items.where(F.col("length") == size), [size], least) for size in sizes))
+    own = own.select(F.col("id").alias("item"), "size", F.col("at").alias("item_at"), "hash")
+    if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        own = F.broadcast(own)
+    docs = documents.where(F.col(id_col).isNotNull())
+    seeds = windows(templated(docs, id_col, text_col), sizes, least).join(own, ["hash", "size"])
+    seeds = materialize(seeds.select(F.col("id").alias("doc"), "item", (F.col("at") - F.col("item_at")).alias("line")).distinct(), "seeds")
+    held = docs.join(seeds.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi")
+    texts = templated(held, id_col, text_col).select(F.col("id").alias("doc"), F.col("template").alias("t"), F.col("plain").alias("p")).distinct()
+    # Each alignment that a window told of is compared with the whole item, word by word.
+    lines = seeds.join(items.withColumnRenamed("id", "item"), "item").join(texts, "doc")
+
+    def word(old: Column, i: Column) -> Column:
+        at = F.col("line") + i
+        new, kind = F.when(at >= 0, F.get("p", at)), F.get("template", i)
+        same = F.coalesce(old == new, F.lit(False))
+        slot = F.coalesce((F.size("template") >= least) & kind.isin(NAME, NUMBER, UNIT) & (kind == F.when(at >= 0, F.get("t", at))), F.lit(False))
+        return F.struct(i.alias("i"), kind.alias("t"), old.alias("old"), new.alias("new"), same.alias("same"), slot.alias("slot"))
+
+    lines = lines.select("doc", "item", "length", F.transform("plain", word).alias("words"))
+    starts = F.sequence(F.lit(0), F.size("words") - F.col("length"))
+    fits = F.filter(starts, lambda a: F.forall(F.slice("words", a + 1, F.col("length")), lambda w: w["same"] | w["slot"]))
+    lines = lines.withColumn("fits", fits).where(F.size("fits") > 0)
+    covered = lambda i: F.exists(F.slice("fits", F.lit(1), F.size("fits")), lambda a: (a <= i) & (i < a + F.col("length")))
+    lines = lines.withColumn("slots", F.filter("words", lambda w: w["slot"] & covered(w["i"])))
+    torn = F.filter("slots", lambda s: F.exists("slots", lambda o: (o["t"] == s["t"]) & (o["old"] == s["old"]) & (o["new"] != s["new"])))
+    lines = lines.withColumn("torn", F.transform(torn, lambda s: s["i"]))
+    verbatim = lambda a: F.forall(F.slice("words", a + 1, F.col("length")), lambda w: w["same"])
+    whole = lambda a: ~F.exists("torn", lambda i: (a <= i) & (i < a + F.col("length")))
+    lines = lines.withColumn("hits", F.filter("fits", lambda a: verbatim(a) | whole(a)))
+    hits = lines.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hits")).where("n_hits > 0")
+    counts = items.select(F.col("id").alias("item"), (F.size("template") - F.col("length") + 1).cast("long").alias("n_item_windows"))
+    return hits.join(counts, "item").select("doc", "item", "n_hits", "n_item_windows")
 
 
 def judge(documents: DataFrame, benchmark: DataFrame, window: int = 8, percent: int = 60, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
