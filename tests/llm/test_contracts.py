@@ -98,6 +98,15 @@ def test_op6_verbatim_passages_in_any_case(spark):
     assert [rows[i][1:3] for i in range(3)] == [(10, 10)] * 3 and not rows[3][3]
 
 
+def test_op6_families_and_torn_slots(spark):
+    start, end = "the clerk at the market counts the goods and writes down", "before the gate closes for the long cold winter night"
+    items = [f"{start} 3 apples and 3 pears {end}", f"{start} 3 apples and 5 pears {end}", "he saw Anna near the old mill by the river and then he went home with Anna to cook"]
+    rows = shares(spark, items, [items[1], f"{start} 4 apples and 4 pears {end}", f"{start} 4 apples and 7 pears {end}", items[2].replace("Anna to", "Carla to"), items[2].replace("Anna", "Berta")])
+    assert rows[0] == (2, 19, 19, True) and rows[1] == (1, 19, 19, True) and rows[2] == (2, 19, 19, True)
+    # Windows with one of the two names are verbatim or without it, but for those with the changed one.
+    assert rows[3] == (3, 9, 12, True) and rows[4] == (3, 12, 12, True)
+
+
 def test_op7_held_out_accuracy(spark):
     rows = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
