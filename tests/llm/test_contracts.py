@@ -107,6 +107,13 @@ def test_op6_families_and_torn_slots(spark):
     assert rows[3] == (3, 9, 12, True) and rows[4] == (3, 12, 12, True)
 
 
+def test_op6_names_at_the_start_and_short_items(spark):
+    items = ["Anna buys two red apples. Ben gives her one. Carla takes the rest of them.", "Anna walks down to the mill every day", "Morning dew", "Where do the old ships go at night"]
+    texts = [items[0].replace("Anna", "Dora").replace("Ben", "Emil").replace("Carla", "Frida"), "Heading " + items[1], items[1].replace("Anna", "Berta"), "the MORNING dew!", "and where do the old ships go at night", "morning or dew"]
+    rows = shares(spark, items, texts)
+    assert [rows[i][0] for i in range(5)] == [1, 2, 2, 3, 4] and all(rows[i][1] == rows[i][2] and rows[i][3] for i in range(5)) and not rows[5][3]
+
+
 def test_op7_held_out_accuracy(spark):
     rows = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
