@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 from tests.llm import brute
-from vestigia.llm import bpe, decontamination, jaccard, pii, quality, toxicity, urls
+from vestigia.llm import bpe, chat, decontamination, jaccard, pii, quality, toxicity, urls
 from vestigia.llm.queries import QUERIES, TOKENIZER, URL_PARAMS
 
 SF = "/root/testdata/sf0.01"
@@ -162,6 +163,18 @@ def test_op9_equals_the_library(spark):
             assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want, given[r.doc_id]
 
 
+def test_op2_deep_chains_and_calls_without_id(spark):
+    depth = 55
+    chain = [(1, i, "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "t", "arguments": {"x": {"$ref": f"c{i - 1}"}} if i else {}}]})) for i in range(depth)]
+    loop = [(2, i, "assistant", json.dumps({"tool_calls": [{"id": f"d{i}", "name": "t", "arguments": {"x": {"$ref": f"d{1 - i}"}}}]})) for i in range(2)]
+    mixed = {"note": "kept", "tool_calls": [{"id": "a", "name": "t", "arguments": {}, "type": "function"}, {"id": 7, "name": "t", "arguments": {}}, {"name": "u"}, "odd"]}
+    rows = spark.createDataFrame([*chain, *loop, (3, 0, "assistant", json.dumps(mixed))], "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): r for r in chat.linked(rows).collect()}
+    assert [found[1, i].level for i in range(depth)] == [2 * i for i in range(depth)] and found[2, 0].level is None and found[2, 1].level is None
+    line = json.loads(found[3, 0].line)
+    assert (found[3, 0].n_calls, found[3, 0].n_invalid, len(line["tool_calls"]), line["note"]) == (4, 3, 4, "kept") and '"type":"function"' in found[3, 0].line
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, name, tmp_path):
     for table in ("documents", "pages", "labels", "benchmark", "conversations"):

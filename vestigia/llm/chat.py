@@ -14,7 +14,8 @@ Rows are messages, so a conversation of any length is never gathered in one plac
 Defined cases: null, empty and other texts are plain content; malformed JSON stays
 plain; of calls with the same id the first by turn and place counts; results without a
 call and calls without a result are marked unlinked; a call in a cycle of references
-has a null level; a tool without schema accepts any object; null ids of conversations
+or with one that is never met has a null level; calls without a string id stay in the line, are
+invalid and link nothing; further fields of messages and calls stay in the line; a tool without schema accepts any object; null ids of conversations
 or turns link nothing.
 """
 
@@ -72,16 +73,17 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple
     """Calls as (id, name, valid, references), the id that a result answers, and the line without links."""
     found, calls, answers, body = _object(text), [], None, {"role": role, "content": text}
     if found and role == "assistant" and isinstance(found.get("tool_calls"), list):
-        kept = [c for c in found["tool_calls"] if isinstance(c, dict) and isinstance(c.get("id"), str)]
-        for c in kept:
-            arguments = c.get("arguments")
-            good = isinstance(arguments, dict) and valid(arguments, schemas.get(c.get("name"), {}))
-            calls.append((c["id"], str(c.get("name")), good, sorted(references(arguments))))
-        if kept:
-            body = {"role": role, "content": found.get("content"), "tool_calls": sorted(({k: c.get(k) for k in ("id", "name", "arguments")} for c in kept), key=canonical)}
+        for c in found["tool_calls"]:
+            one = c if isinstance(c, dict) else {}
+            own, name, arguments = one.get("id"), one.get("name"), one.get("arguments")
+            usable = isinstance(own, str)
+            good = usable and isinstance(arguments, dict) and valid(arguments, schemas.get(name, {}) if isinstance(name, str) else {})
+            calls.append((own if usable else None, str(name), good, sorted(references(arguments))))
+        if calls:
+            body = found | {"role": role, "content": found.get("content"), "tool_calls": sorted(({"id": None, "name": None, "arguments": None} | c if isinstance(c, dict) else c for c in found["tool_calls"]), key=canonical)}
     elif found and role == "tool" and isinstance(found.get("tool_call_id"), str):
         answers = found["tool_call_id"]
-        body = {"role": role, "tool_call_id": answers, "content": found.get("content")}
+        body = found | {"role": role, "content": found.get("content")}
     return calls, answers, canonical(body)
 
 
@@ -104,17 +106,18 @@ def parsed(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return rows.mapInArrow(work, f"conv_id long, turn long, role string, calls {CALL}, answers string, line string")
 
 
-def linked(messages: DataFrame, schemas: dict[str, dict] | None = None, rounds: int = 50) -> DataFrame:
+def linked(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """Per message: conv_id, turn, role, n_calls, n_invalid, n_linked, level, line."""
     rows = materialize(parsed(messages, schemas or {}), "chat")
-    each = rows.where(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "place", "c.call_id", "c.valid", "c.refs")
+    each = rows.where(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "place", "c.call_id", "c.valid", "c.refs").where(F.col("call_id").isNotNull())
     calls = materialize(each.groupBy("conv_id", "call_id").agg(F.min_by(F.struct("turn", "valid", "refs"), F.struct("turn", "place")).alias("c")).select("conv_id", "call_id", "c.turn", "c.valid", "c.refs"), "calls")
     results = rows.where(F.col("answers").isNotNull()).select("conv_id", F.col("answers").alias("call_id")).distinct()
     both = materialize(calls.join(results.withColumn("answered", F.lit(True)), ["conv_id", "call_id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False))), "linked-calls")
     levels = both.where(F.size("refs") == 0).select("conv_id", "call_id", F.lit(0).cast("long").alias("level"))
     needs = both.where(F.size("refs") > 0).select("conv_id", "call_id", F.explode("refs").alias("ref"))
     if not needs.isEmpty():
-        for _ in range(rounds):
+        # One pass for each step of the longest chain; calls in a cycle never become ready, which ends it.
+        while True:
             levels = materialize(levels, "levels")
             known = levels.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below"))
             ready = needs.join(levels, ["conv_id", "call_id"], "left_anti").join(known, ["conv_id", "ref"], "left").groupBy("conv_id", "call_id")
