@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 import struct
 import zlib
 
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 from tests.llm import brute
-from vestigia.llm import bpe, chat, decontamination, jaccard, pii, quality, toxicity, urls
+from vestigia.llm import bpe, chat, decontamination, html_text, jaccard, pii, quality, toxicity, urls
 from vestigia.llm.queries import QUERIES, TOKENIZER, URL_PARAMS
 
 SF = "/root/testdata/sf0.01"
@@ -175,6 +176,20 @@ def test_op2_deep_chains_and_calls_without_id(spark):
     assert (found[3, 0].n_calls, found[3, 0].n_invalid, len(line["tool_calls"]), line["note"]) == (4, 3, 4, "kept") and '"type":"function"' in found[3, 0].line
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr>w1<form><td>w2</td></form><td>w3</td></tr></table>",
+        "<table><tbody>w1<td>w2<td>w3<tr><td>w4</td></tr>w5<th>w6</tbody></table>",
+        "<table><tr><td>w1<table><tr>w2<td>w3</table></td><b>w4</b></tr><caption>w5</caption></table>w6",
+        "<table><form><tr><td>w1</td></tr>w2</form><colgroup>w3</colgroup><div>w4</div></table>",
+    ],
+)
+def test_op10_keeps_all_text_of_tables(page):
+    text = html_text.extract(page)
+    assert sorted(re.findall("w[0-9]", text)) == sorted(re.findall("w[0-9]", page)), text
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, name, tmp_path):
     for table in ("documents", "pages", "labels", "benchmark", "conversations"):

@@ -159,19 +159,51 @@ class Layout:
         return "\n".join(self.lines)
 
 
-def _rows(table: Node) -> list[list[Node]]:
-    out, todo = [], [table]
+def _holds_cells(node: Node) -> bool:
+    todo = [node]
     while todo:
-        node = todo.pop()
-        for x in node.children if node.tag == "tr" else ():
-            if isinstance(x, Node) and x.tag in ("td", "th") and not x.hidden:
-                out[-1].append(x)
-        for x in reversed(node.children) if node.tag != "tr" else ():
-            if isinstance(x, Node) and not x.hidden and x.tag in ("tr", "tbody", "thead", "tfoot"):
+        for x in todo.pop().children:
+            if isinstance(x, Node) and not x.hidden and x.tag != "table":
+                if x.tag in ("td", "th", "tr"):
+                    return True
                 todo.append(x)
-        if todo and todo[-1].tag == "tr":
-            out.append([])
-    return out
+    return False
+
+
+def _rows(table: Node) -> tuple[list[list[Node]], list[object]]:
+    """The cells by row, cells outside a row in an implied one, and whatever else is visible in the table."""
+    rows: list[list[Node]] = []
+    stray: list[object] = []
+    # Entries: children to come, the row that cells go to, whether a tr made it.
+    todo = [(iter(table.children), None, False)]
+    while todo:
+        children, row, given = todo[-1]
+        x = next(children, None)
+        if x is None:
+            todo.pop()
+        elif isinstance(x, str):
+            if x.strip():
+                stray.append(x)
+        elif x.hidden:
+            continue
+        elif x.tag in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+                todo[-1] = (children, row, given)
+            row.append(x)
+        elif x.tag == "tr":
+            rows.append([])
+            todo[-1] = (children, row if given else None, given)
+            todo.append((iter(x.children), rows[-1], True))
+        elif x.tag in ("tbody", "thead", "tfoot", "colgroup"):
+            todo[-1] = (children, row if given else None, given)
+            todo.append((iter(x.children), None, False))
+        elif x.tag != "table" and _holds_cells(x):
+            todo.append((iter(x.children), row, given))
+        else:
+            stray.append(x)
+    return rows, stray
 
 
 def render(root: Node) -> str:
@@ -207,13 +239,13 @@ def render(root: Node) -> str:
             out.write(node.attributes.get("alt", ""))
         elif tag == "input":
             out.write(node.attributes.get("value", "") + " ")
-        elif tag == "table" and (rows := _rows(node)):
+        elif tag == "table" and (parts := _rows(node))[0]:
+            rows, stray = parts
             out.block(True)
-            # Text outside cells comes first, as browsers put it.
-            for x in node.children:
-                if isinstance(x, str) and x.strip() or isinstance(x, Node) and x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup") and not x.hidden:
-                    stray = x if isinstance(x, str) else render(x)
-                    out.write(stray.strip() + "\n", kept=True)
+            # What is outside cells comes first, as browsers put it.
+            for x in stray:
+                if text := (x if isinstance(x, str) else render(x)).strip():
+                    out.write(text + "\n", kept=True)
                     out.end()
             cells = [[render_cell(c) for c in row] for row in rows]
             widths: list[int] = []
