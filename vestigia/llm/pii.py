@@ -2,11 +2,13 @@
 
 Four kinds of base spans are found by patterns. They are the protected entities, by
 kind and value. Terms that stand in the same documents can still give an entity away
-once it is masked. The corpus tells how strongly: for a term and an entity that meet
-in at least ``support`` documents, the disclosure is the share of the term's documents
-that hold the entity, and the information is log2 of that share over the entity's
+once it is masked. The corpus tells how strongly: for a term and an entity that meet,
+the disclosure is the share of the term's documents that hold the entity, ``doubt``
+documents without it added, and the information is log2 of that share over the entity's
 share of all documents. Pairs that reach both thresholds are disclosing; in documents
-that hold the entity the term is generalised, or removed if it has no class.
+that hold the entity the term is masked. With the usual thresholds a term that stands
+with one entity alone discloses it, were it in a single document. Copies of a text under
+several ids count as one document. Words that overlap a base span are no terms.
 
 All matching runs as pattern functions over whole texts. Single separators within a
 card number and single dots within a mail host are first turned into stand-ins of the
@@ -28,6 +30,7 @@ from ..plans.storage import materialize
 KINDS = ("email", "ip", "card", "phone")
 #: Stand-ins for separators within a card number and for dots within a host name.
 GAP, DOT, OTHER = "\ue000", "\ue001", "\ue002"
+HIDDEN = "\ue003"
 WHITE = r"[\x20\x09-\x0D]+"
 
 EMAIL = rf"(?:\G|(?<![A-Za-z0-9._%+{DOT}-]))[A-Za-z0-9._%+{DOT}-]++@[A-Za-z0-9-]++{DOT}[A-Za-z0-9{DOT}-]++"
@@ -102,6 +105,19 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+[^\p{L}\p{N}]*|[^\p{L}\p{N}]+(?=[\x20\x09-\x0D]|$)"), lambda w: w != ""))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a placeholder in each word that a base span touches, so that no term comes from it."""
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def add(a: Column, s: Column) -> Column:
+        shown = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(HIDDEN))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], shown).otherwise(a["out"]).alias("out"))
+
+    rest = F.aggregate(ordered, empty, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.regexp_replace(rest, rf"[^\x20\x09-\x0D{HIDDEN}]*+{HIDDEN}[^\x20\x09-\x0D]*+", " ")
+
+
 def found_in(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row id, id, spans) of all rows; only rows with spans carry their text along."""
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -109,28 +125,36 @@ def found_in(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
 
 
-def disclosing(found: DataFrame, documents: DataFrame, support: int = 3, share: float = 0.8, bits: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _copies(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids of documents whose text stands under a smaller id too."""
+    keys = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("key"))
+    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    return materialize(keys.join(first, "key").where("id > first").select("id").distinct(), "copies")
+
+
+def disclosing(found: DataFrame, documents: DataFrame, share: float = 0.8, bits: float = 3.0, doubt: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(entity, term) of the pairs whose disclosure reaches the thresholds."""
-    holding = found.where((F.size("spans") > 0) & F.col("id").isNotNull()).select("id", "text", F.array_distinct(F.transform("spans", _entity)).alias("entities"))
-    per_entity = holding.select("id", "text", F.explode("entities").alias("entity"))
-    often = per_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    often = materialize(often, "entities")
-    kept = per_entity.join(often, "entity")
-    met = kept.select("entity", "n_entity", F.explode(_terms(F.col("text"))).alias("term")).groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    met = materialize(met.where(F.col("n_both") >= support), "met")
+    copies = _copies(documents, id_col, text_col)
+    holding = found.where((F.size("spans") > 0) & F.col("id").isNotNull()).join(copies, "id", "left_anti")
+    holding = holding.select("id", _outside(F.col("text"), F.col("spans")).alias("text"), F.array_distinct(F.transform("spans", _entity)).alias("entities"))
+    per_entity = holding.select(_terms(F.col("text")).alias("terms"), F.explode("entities").alias("entity"))
+    often = materialize(per_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entities")
+    met = per_entity.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    met = materialize(met, "met")
     wanted = met.select("term").distinct()
-    everywhere = documents.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = documents.count()
-    scored = met.join(everywhere.join(wanted, "term", "left_semi"), "term")
-    strong = (F.col("n_both") >= share * F.col("n_term")) & (F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))) >= bits)
-    return scored.where(strong & ~F.col("term").rlike("[0-9@]")).select("entity", "term")
+    single = documents.join(copies.withColumnRenamed("id", id_col), id_col, "left_anti")
+    everywhere = single.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = single.count()
+    scored = met.join(everywhere.join(wanted, "term", "left_semi"), "term").where(F.col("n_both") >= share * (F.col("n_term") + doubt)).join(often, "entity")
+    strong = F.log2(F.col("n_both") * F.lit(float(total)) / ((F.col("n_term") + doubt) * F.col("n_entity"))) >= bits
+    return scored.where(strong).select("entity", "term")
 
 
-def sanitised(documents: DataFrame, support: int = 3, share: float = 0.8, bits: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitised(documents: DataFrame, share: float = 0.8, bits: float = 3.0, doubt: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``base`` spans and ``terms`` (lower-case words that disclose an entity of the row)."""
     found = materialize(found_in(documents, id_col, text_col), "pii")
-    pairs = disclosing(found, documents, support, share, bits, id_col, text_col)
-    per_entity = found.where((F.size("spans") > 0) & F.col("id").isNotNull()).select("id", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"), _terms(F.col("text")).alias("own"))
+    pairs = disclosing(found, documents, share, bits, doubt, id_col, text_col)
+    per_entity = found.where((F.size("spans") > 0) & F.col("id").isNotNull()).select("id", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"), _terms(_outside(F.col("text"), F.col("spans"))).alias("own"))
     held = per_entity.select("id", "entity", F.explode("own").alias("term")).join(pairs, ["entity", "term"]).select("id", "term").distinct()
     terms = held.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # words of one text
     return found.join(terms, "id", "left").select(F.col("id").alias(id_col), "text", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
