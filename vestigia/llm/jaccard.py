@@ -1,21 +1,25 @@
 """Exact Jaccard self-join of word n-gram sets, as classes of linked documents.
 
-A size-aware heavy-light join. Every set gives signatures such that two sets that
-reach the threshold share at least one:
+A size-aware heavy-light join. Elements have one order for the whole corpus, rare ones
+first; a first pass over all texts counts them in a table of CELLS cells for that. In
+this order every set gives signatures such that two sets that reach the threshold share
+at least one:
 
 * small sets (light): all subsets of a fixed size, here pairs, of the set's first
-  ``n - ceil(t * n) + 2`` elements in hash order; two similar sets share two of them;
-* large sets (heavy): an inverted list for each of m slices of the hash space, where
-  the set enters by what it holds in that slice. Two similar sets of a size class
-  differ in at most d elements, so of m = 2 * d + 2 slices more than half are equal.
+  ``m + 2`` elements, m being as many as a partner may lack; similar sets share two of
+  the elements. Sets so small that one common element links them give single ones too;
+* large sets (heavy): the inverted lists of their first ``m + k`` elements. Similar sets
+  share the lists of at least k elements, k growing with the set.
 
-Sets then have a number of signatures to share with others before they are looked at:
-a set that differs from its partner in at most d elements shares all but d of its
-slices. Documents that have only a passage in common share fewer and are left out,
-exactly and before any set is fetched.
+``boundary`` tells where small ends: at the least size for which subsets cost more than
+lists, by the rows that either takes and the lengths of lists and of subsets' groups
+measured in the first pass (second moments of the counts).
 
-``boundary`` chooses where small ends, by the signatures that either way costs.
-Sets near the boundary, or near the upper end of a size class, enter both.
+Sets then have a number of signatures to share with others before they are looked at:
+one of a large set that shares fewer than the k of its smallest partner is linked with
+nothing. Documents that have only a passage in common fall short, the more so as the
+words of a passage that recurs are not rare, and are left out exactly and before any
+set is fetched.
 
 Pairs in a list are never all made. Each list has a leader, the member with the
 largest part of its signatures shared (near the middle of its group), and every
@@ -30,26 +34,28 @@ Defined cases: null and empty texts have an empty set and are linked with nothin
 with fewer than ``words`` words the whole sequence is the only element; equal sets
 are linked before anything else, so groups of copies cost one set; rows with the
 same id count as one document's rows and are returned as they are; rows with a null
-id are returned with a null class.
+id are returned with their size and a null class. ``percent`` is from 1 to 100.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.storage import discard, materialize
 
-#: A class of sizes reaches from b to GROWTH * b.
-GROWTH = 1.6
+#: Cells of the element counts, and of each of the two tables for measuring list lengths.
+CELLS, MEASURED = 1 << 18, 1 << 16
+#: Sizes over which list lengths are measured, and what meeting one member costs against making a row.
+SMALL, MEETING = (4, 64), 0.05
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: How often signatures are counted anew after documents fell short; more rounds only save comparisons.
 ROUNDS = 2
@@ -94,73 +100,67 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
-def differing(n: int, t: float) -> int:
-    """The most elements in which two sets of n together can differ when they reach t."""
-    return math.floor((1 - t) / (1 + t) * n + 1e-9)
+def lacking(n: int, percent: int) -> int:
+    """The most elements of a set of n that a set linked with it may lack."""
+    return n - -(-percent * n // 100)
 
 
-def first_of(n: int, t: float, extra: int) -> int:
-    return min(n, n - math.ceil(t * n - 1e-9) + extra)
+def sharing(n: int, percent: int) -> int:
+    """How many lists a set of n is to share: the more, the longer its part in the lists."""
+    m = lacking(n, percent)
+    return max(1, min(1 + m // 2, n - m))
 
 
-@lru_cache(maxsize=None)
-def size_class(n: int, start: int) -> tuple[int, int, int]:
-    """Number, lower end and upper end (exclusive) of n's size class."""
-    i, low = 0, start
-    while n >= (high := max(low + 1, math.ceil(low * GROWTH))):
-        i, low = i + 1, high
-    return i, low, high
+def listed(n: int, percent: int) -> int:
+    """In how many lists a set of n stands."""
+    return lacking(n, percent) + sharing(n, percent)
 
 
-def slices(high: int, t: float) -> int:
-    """Number of slices for sizes below ``high``: twice as many as can differ, and two."""
-    return 2 * differing(2 * (high - 1), t) + 2
+def moment(counts: np.ndarray) -> float:
+    """Mean length of the list that a random entry stands in, from counts by cell with chance meetings taken off."""
+    total, cells = float(counts.sum()), len(counts)
+    if not total:
+        return 1.0
+    return max(1.0, ((counts.astype(float) ** 2).sum() - total**2 / cells) / (1 - 1 / cells) / total)
 
 
-@lru_cache(maxsize=None)
-def boundary(t: float) -> int:
-    """The smallest size at which slices cost fewer signatures than pairs."""
-    n = 6
-    while math.comb(first_of(n, t, 2), 2) <= slices(math.ceil(n * GROWTH), t):
+def boundary(percent: int, list_length: float, group_length: float) -> int:
+    """The smallest size at which lists cost less than pairs."""
+    n = 2
+    while True:
+        light = math.comb(lacking(n, percent) + 2, 2) * (1 + MEETING * group_length)
+        if light > listed(n, percent) * (1 + MEETING * list_length):
+            return n
         n += 1
-    return n
 
 
-def signatures(s: np.ndarray, t: float) -> list[tuple[int, np.ndarray]]:
-    """Signatures of a set in each part that it enters, each 64 bits, with how many of them it must share there.
+@dataclass(frozen=True)
+class Order:
+    """The order of elements, rare ones first, and the size from which sets are large."""
 
-    A set whose full slices could all differ from a similar set's gets one more
-    signature, the same for all such sets of the size class, and must share only one.
-    """
-    n, edge = len(s), boundary(t)
-    out = []
-    if n and n * t < edge:  # its partners may be small
-        head = s[: first_of(n, t, 2)]
-        if len(head) >= 2:
+    percent: int
+    ranks: np.ndarray  # by cell, 16 bits
+    edge: int
+
+    def sorted(self, s: np.ndarray) -> np.ndarray:
+        return s[np.argsort(self.ranks[s & np.uint64(CELLS - 1)], kind="stable")]
+
+    def signatures(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(part, number to share, signatures of 64 bits) for each part that a set enters."""
+        n, p, out = len(s), self.percent, []
+        if not n:
+            return out
+        s = self.sorted(s)
+        if p * n <= 100:  # a single common element may link it
+            out.append((0, 1, _mix(s + np.uint64(11))))
+        if n > 1 and p * n < 100 * self.edge:  # its partners may be small
+            head = s[: lacking(n, p) + 2]
             i, j = np.triu_indices(len(head), 1)
-            out.append((1, _mix(head[i] * np.uint64(5) + _mix(head[j]))))
-        else:
-            out.append((1, _mix(head + np.uint64(11))))
-    if n >= edge:
-        i, low, high = size_class(n, edge)
-        classes = [(i, high)]
-        if math.ceil(high * t - 1e-9) <= n:  # its partners may be in the next class
-            i, low, high = size_class(high, edge)
-            classes.append((i, high))
-        scrambled = _mix(s)
-        for number, high in classes:
-            m = slices(high, t)
-            step = (1 << 64) // m
-            starts = np.searchsorted(s, np.arange(m, dtype=np.uint64) * np.uint64(step))
-            full = np.append(starts[1:], n) > starts
-            salt = np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            place = np.flatnonzero(full).astype(np.uint64)
-            found = _mix(np.add.reduceat(scrambled, starts[full]) + _mix(place + salt))
-            need = len(found) - differing(n + min(high - 1, math.floor(n / t + 1e-9)), t)
-            if need < 1:
-                found = np.append(found, _mix(np.array([salt ^ np.uint64(0xA5A5A5A5A5A5A5A5)], np.uint64)))
-            out.append((max(need, 1), found))
-    return out
+            out.append((1, 1, _mix(head[i] * np.uint64(5) + _mix(head[j]))))
+        if n >= self.edge:
+            least = max(self.edge, -(-p * n // 100))
+            out.append((2, sharing(least, p), s[: listed(n, p)]))
+        return out
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -168,22 +168,67 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 #: Signatures that a worker holds back to find those that repeat among them.
-HELD = 1_000_000
+HELD = 300_000
 ALONE, FIRST, REPEATED = 0, 1, 2
 
 
-def _signed(documents: DataFrame, id_col: str, text_col: str, k: int, t: float) -> DataFrame:
-    """Two kinds of rows: (doc, n, key) for each document, (doc, sig, due, local) for each signature.
+def _measured(documents: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Two kinds of rows: (doc, n, key) for each document, (cell, times) of each part of the input.
+
+    Cells below CELLS count all elements; of small sets the next MEASURED count the first
+    element and the last MEASURED the first two together.
+    """
+    names = ["doc", "n", "key", "cell", "times"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(CELLS + 2 * MEASURED, np.int64)
+        for batch in batches:
+            n, key = [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py(), k)
+                n.append(len(s))
+                key.append(_digest(s))
+                np.add.at(times, s & np.uint64(CELLS - 1), 1)
+                if SMALL[0] <= len(s) < SMALL[1]:
+                    first = _mix(s[:2])
+                    times[CELLS + int(first[0]) % MEASURED] += 1
+                    times[CELLS + MEASURED + int(first[0] ^ _mix(first[1:])[0]) % MEASURED] += 1
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
+        cells = np.flatnonzero(times)
+        for i in range(0, len(cells), 50_000):
+            part = cells[i : i + 50_000]
+            m = len(part)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(part.astype(np.int32)), pa.array(times[part])], names)
+
+    rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, "doc long, n long, key binary, cell int, times long")
+
+
+def _order(measured: DataFrame, percent: int) -> Order:
+    """The order of all elements; at most as many rows as there are cells reach the driver."""
+    found = measured.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(CELLS + 2 * MEASURED, np.int64)
+    times[found.column("cell").to_numpy()] = found.column("times").to_numpy()
+    edge = boundary(percent, moment(times[CELLS : CELLS + MEASURED]), moment(times[CELLS + MEASURED :]))
+    # Steps of some four percent: chance differences between cells of rare elements don't count.
+    return Order(percent, np.floor(16 * np.log2(times[:CELLS] + 1)).astype(np.uint16), edge)
+
+
+def _signed(documents: DataFrame, order: Order, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(doc, sig, due, local) for each signature.
 
     due is 4 * the number of signatures to share + the number of the part. local
     tells whether the signature repeats among those held together: what is REPEATED
     is known to be shared and need not meet the others, so a signature of a large
     group goes to one place only once for each stretch of input.
     """
-    names = ["doc", "n", "key", "sig", "due", "local"]
+    shared = documents.sparkSession.sparkContext.broadcast(order)  # half a MB, whatever the corpus
+    names = ["doc", "sig", "due", "local"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owner, dues, held = [], [], [], 0
+        given = shared.value
 
         def flush():
             sig, doc, due = np.concatenate(sigs).view(np.int64), np.concatenate(owner), np.concatenate(dues)
@@ -194,30 +239,23 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, k: int, t: float)
             local[order] = np.where(before, REPEATED, np.where(after, FIRST, ALONE))
             for i in range(0, len(sig), 50_000):
                 part = slice(i, i + 50_000)
-                m = len(sig[part])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(sig[part]), pa.array(due[part]), pa.array(local[part])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(sig[part]), pa.array(due[part]), pa.array(local[part])], names)
 
         for batch in batches:
-            n, key = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py(), k)
-                n.append(len(s))
-                key.append(_digest(s))
-                for number, (need, found) in enumerate(signatures(s, t)):
+                for part, need, found in given.signatures(shingles(text.as_py(), k)):
                     sigs.append(found)
                     owner.append(np.full(len(found), doc, np.int64))
-                    dues.append(np.full(len(found), 4 * need + number, np.int64))
+                    dues.append(np.full(len(found), 4 * need + part, np.int32))
                     held += len(found)
                 if held > HELD:
                     yield from flush()
                     sigs, owner, dues, held = [], [], [], 0
-            m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int8())], names)
         if sigs:
             yield from flush()
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc long, n long, key binary, sig long, due long, local byte")
+    return rows.mapInArrow(work, "doc long, sig long, due int, local byte")
 
 
 def _met(signed: DataFrame) -> DataFrame:
@@ -239,9 +277,9 @@ def _met(signed: DataFrame) -> DataFrame:
         if last is not None and last_met:
             yield last.select([0, 1, 2])
 
-    rows = signed.where(F.col("sig").isNotNull()).select("sig", "doc", "due", "local")
+    rows = signed.select("sig", "doc", "due", "local")
     ordered = rows.where(F.col("local") != REPEATED).repartition("sig").sortWithinPartitions("sig")
-    return ordered.mapInArrow(work, "sig long, doc long, due long").union(rows.where(F.col("local") == REPEATED).drop("local"))
+    return ordered.mapInArrow(work, "sig long, doc long, due int").union(rows.where(F.col("local") == REPEATED).drop("local"))
 
 
 def _due(listed: DataFrame) -> DataFrame:
@@ -250,19 +288,39 @@ def _due(listed: DataFrame) -> DataFrame:
     return listed.join(enough, ["doc", "due"], "left_semi").select("sig", "doc", "due")
 
 
+def _led(listed: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(leader, doc) that need comparing.
+
+    Linked documents share as many lists as either is to share. So each may leave out
+    less than half of that number and they still share one that both keep: left out are
+    the lists of the leaders that lead the fewest of the document's lists.
+    """
+    led = listed.join(leaders, "sig").groupBy("doc", "due", "leader").agg(F.count("sig").alias("lists"))
+    fewest = Window.partitionBy("doc", "due").orderBy("lists", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = led.withColumn("below", F.sum("lists").over(fewest)).where(F.col("below") > F.expr("(due div 4 - 1) div 2"))  # the leaders of one document
+    return needed.where("leader != doc").select("leader", "doc").distinct()
+
+
+#: Ids of documents whose sets are wanted that may be broadcast, 16 bytes each; above it the texts are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
 def _sets(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc, elements) of the documents in ``wanted``, elements as packed 64-bit hashes."""
+    """(doc, leads, elements) of the documents in ``wanted`` (doc, leads), elements as packed 64-bit hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shingles(x.as_py(), k).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "elements"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                out = [shingles(x.as_py(), k).tobytes() for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc", "leads", "elements"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(work, "doc long, elements binary")
+    near = wanted.hint("broadcast") if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    return rows.join(near, "doc").select("doc", "leads", "text").mapInArrow(work, "doc long, leads boolean, elements binary")
 
 
-def _as_set(packed: bytes) -> np.ndarray:
+def _as_set(packed) -> np.ndarray:
     return np.frombuffer(packed, np.uint64)
 
 
@@ -275,18 +333,18 @@ def _compare(pairs: DataFrame, t: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leader, doc, a, b = (c.to_pylist() for c in batch.columns)
-            rows = []
-            for x, y in zip(a, b, strict=True):
-                x, y = _as_set(x), _as_set(y)
-                d = _difference(x, y)
-                union = (len(x) + len(y) + len(d)) // 2
-                rows.append((len(y), len(d), 100 * (union - len(d)) >= t * union, d.tobytes()))
-            size, differs, linked, elements = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(differs, pa.int64()), pa.array(linked, pa.bool_()), pa.array(elements, pa.binary())],
-                ["leader", "doc", "size", "differs", "linked", "elements"],
-            )
+            for i in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(i, 256), []
+                for a, b in zip(part.column(2), part.column(3), strict=True):
+                    x, y = _as_set(a.as_buffer()), _as_set(b.as_buffer())
+                    d = _difference(x, y)
+                    union = (len(x) + len(y) + len(d)) // 2
+                    rows.append((len(y), len(d), 100 * (union - len(d)) >= t * union, d.tobytes()))
+                size, differs, linked, elements = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(differs, pa.int64()), pa.array(linked, pa.bool_()), pa.array(elements, pa.binary())],
+                    ["leader", "doc", "size", "differs", "linked", "elements"],
+                )
 
     return pairs.select("leader", "doc", "a", "b").mapInArrow(work, "leader long, doc long, size long, differs long, linked boolean, elements binary")
 
@@ -317,14 +375,13 @@ def _verified(pairs: DataFrame, t: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, nx, ny, dx, dy = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i in range(len(x)):
-                apart = len(_difference(_as_set(dx[i]), _as_set(dy[i])))
-                union = (nx[i] + ny[i] + apart) // 2
-                if 100 * (union - apart) >= t * union:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()), pa.array([y[i] for i in keep], pa.int64())], ["src", "dst"])
+            both = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (n, a, b) in enumerate(zip(both, batch.column(4), batch.column(5), strict=True)):
+                apart = len(_difference(_as_set(a.as_buffer()), _as_set(b.as_buffer())))
+                union = (n + apart) // 2
+                keep[i] = 100 * (union - apart) >= t * union
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep))
 
     return pairs.select("x", "y", "nx", "ny", "dx", "dy").mapInArrow(work, "src long, dst long")
 
@@ -336,10 +393,11 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
     sets of ``words``-word sequences; component_id is the smallest id that links
     reach, itself included.
     """
-    t = percent / 100
-    signed = materialize(_signed(documents, id_col, text_col, words, t), "signed")
-    sets = materialize(signed.where(F.col("sig").isNull()).select("doc", "n", "key"), "documents")
+    measured = materialize(_measured(documents, id_col, text_col, words), "measured")
+    order = _order(measured, percent)
+    sets = measured.where(F.col("doc").isNotNull()).select("doc", "n", "key")
     heads = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("head")), "heads")
+    signed = materialize(_signed(documents, order, id_col, text_col, words), "signed")
     met = materialize(_met(signed), "met")
     discard(signed)
     listed = materialize(_due(met).join(heads.select(F.col("head").alias("doc")), "doc", "left_semi"), "listed")
@@ -360,13 +418,15 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
     discard(listed)
     leaders = ranked.groupBy("sig").agg(F.min("rank").alias("first"), F.max("doc").alias("a"), F.min("doc").alias("b")).where("a != b")
     leaders = materialize(leaders.select("sig", F.col("first.doc").alias("leader")), "leaders")
-    pairs = materialize(ranked.select("sig", "doc").join(leaders, "sig").where("leader != doc").select("leader", "doc").distinct(), "pairs")
+    pairs = materialize(_led(ranked.select("sig", "doc", "due"), leaders), "pairs")
     discard(ranked, leaders)
-    wanted = pairs.select("doc").union(pairs.select(F.col("leader").alias("doc"))).distinct()
+    wanted = pairs.select("doc", F.lit(False).alias("leads")).union(pairs.select(F.col("leader").alias("doc"), F.lit(True)))
+    wanted = materialize(wanted.groupBy("doc").agg(F.max("leads").alias("leads")), "wanted")
     elements = materialize(_sets(documents, wanted, id_col, text_col, words), "sets")
-    both = pairs.join(elements.select("doc", F.col("elements").alias("b")), "doc").join(elements.select(F.col("doc").alias("leader"), F.col("elements").alias("a")), "leader")
+    of_leader = elements.where("leads").select(F.col("doc").alias("leader"), F.col("elements").alias("a"))
+    both = pairs.join(elements.select("doc", F.col("elements").alias("b")), "doc").join(of_leader, "leader")
     stars = materialize(_compare(both, percent), "stars")
-    discard(elements, pairs)
+    discard(elements, pairs, wanted)
     links = stars.where("linked").select(F.col("leader").alias("src"), F.col("doc").alias("dst"))
     known = connected_components(links)
     more = _rest(stars, known, percent)
@@ -374,12 +434,15 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
         known = connected_components(links.union(more))
     of_head = heads.join(known, F.col("head") == F.col("node"), "left").select("key", F.coalesce("component", "head").alias("component_id"))
     of_head = materialize(of_head, "components")
-    discard(stars, heads)
+    discard(stars, heads, known, more)
     out = sets.join(of_head, "key", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
     )
-    nameless = documents.where(F.col(id_col).isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"))
-    return out.union(nameless) if nameless.limit(1).count() else out
+    nameless = documents.where(F.col(id_col).isNull())
+    if nameless.limit(1).count():
+        sizes = nameless.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(shingles(x.as_py(), words)) for x in b.column(0)], pa.int64())], ["n"]) for b in batches), "n long")
+        out = out.union(sizes.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
+    return out
 
 
 def _rest(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
@@ -396,8 +459,8 @@ def _rest(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
     placed = placed.join(of_leader, "leader", "left").withColumn("away", F.col("component") != F.coalesce("home", "leader"))
     # Stars with a single member, or with all in the leader's class, have nothing left.
     open_stars = placed.groupBy("leader").agg(F.count("doc").alias("members"), F.max("away").alias("apart")).where("members > 1 and apart").select("leader")
-    placed = materialize(placed.join(open_stars, "leader", "left_semi").select("leader", "doc", "size", "differs", "component", "away", "elements"), "open")
-    tokens = _exploded(placed)
+    placed = materialize(placed.join(open_stars, "leader", "left_semi").select("leader", "doc", "size", "differs", "component", "away"), "open")
+    tokens = _exploded(stars.join(placed.select("leader", "doc"), ["leader", "doc"], "left_semi"))
     lone = tokens.groupBy("leader", "element").agg(F.count("doc").alias("c"), F.min("doc").alias("doc")).where("c = 1").groupBy("leader", "doc").agg(F.count("element").alias("alone"))
     counted = materialize(placed.join(lone, ["leader", "doc"], "left").withColumn("alone", F.coalesce("alone", F.lit(0))), "counted")
     free = F.col("differs") - 2 * F.col("alone")
@@ -410,18 +473,55 @@ def _rest(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
         return None
     sought = seeking.groupBy("leader").agg(F.min("need").alias("worst"), F.max("most").alias("widest"))
     offering = materialize(lean.join(sought, "leader").where("free >= worst and differs <= widest").drop("worst", "widest"), "offering")
-    x, y = seeking.alias("x"), offering.alias("y")
+    pairs = materialize(_candidates(stars, seeking, offering, percent), "rest")
+    discard(seeking, offering)
+    if pairs.isEmpty():
+        return None
+    found = stars.select("leader", "doc", "size", "elements")
+    full = pairs.join(found.select("leader", F.col("doc").alias("x"), F.col("size").alias("nx"), F.col("elements").alias("dx")), ["leader", "x"])
+    full = full.join(found.select("leader", F.col("doc").alias("y"), F.col("size").alias("ny"), F.col("elements").alias("dy")), ["leader", "y"])
+    links = materialize(_verified(full, percent).distinct(), "rest-links")
+    discard(placed, counted, pairs)
+    return links
+
+
+#: Differences of a star fall into bands by size, each up to so many times its lower end.
+BAND = 1.5
+
+
+def _candidates(stars: DataFrame, seeking: DataFrame, offering: DataFrame, percent: int) -> DataFrame:
+    """(leader, x, y) of members whose differences may overlap enough: x seeks, y offers.
+
+    This is the join of the large sets once more, within each star. Two differences of dx
+    and dy elements must have c = (dx + dy - allowed) / 2 in common, which is 1 at least
+    while x is not of the leader's class. Ordered by how many of the star's differences
+    hold an element, the first s - c + 1 of the s elements that others hold too must then
+    meet. c is taken for each band of partners by its least difference and largest set,
+    so that what nearly all members differ in from the leader comes last and makes no pairs.
+    """
+    t = percent / 100
+    most = (1 - t) / (1 + t)
+    keep = ("leader", "doc", "size", "differs", "component", "away", "free")
+    members = offering.select(*keep).unionByName(seeking.select(*keep)).distinct()
+    members = members.withColumn("band", F.floor(F.log(F.col("differs").cast("double")) / math.log(BAND)).cast("int"))
+    tokens = _exploded(stars.join(members.select("leader", "doc"), ["leader", "doc"], "left_semi"))
+    often = tokens.groupBy("leader", "element").agg(F.count("doc").alias("c")).where("c > 1")
+    own = tokens.join(often, ["leader", "element"]).groupBy("leader", "doc").agg(F.array_sort(F.collect_list(F.struct("c", "element"))).alias("own"))  # of one difference
+    members = materialize(members.join(own, ["leader", "doc"]), "members")
+    bands = members.groupBy("leader", F.col("band").alias("other")).agg(F.min("differs").alias("least"), F.max("size").alias("largest"))
+    widest = F.floor(F.lit(most) * (F.col("size") + F.least(F.col("largest").cast("double"), F.col("size") / F.lit(t))) + F.lit(1e-9))
+    common = F.greatest(F.lit(1), F.ceil((F.col("differs") + F.col("least") - widest) / 2)).cast("int")
+    headed = members.join(bands, "leader").withColumn("head", F.size("own") - common + 1).where("head > 0")
+    entries = headed.select("leader", "doc", "size", "differs", "component", "away", "free", "band", "other", F.explode(F.slice("own", F.lit(1), F.col("head"))).alias("e")).select("*", "e.element").drop("e")
+    entries = materialize(entries, "entries")
+    x, y = entries.where("away").alias("x"), entries.alias("y")
     allowed = F.floor(F.lit(most) * (F.col("x.size") + F.col("y.size")) + F.lit(1e-9))
-    pairs = x.join(y, F.col("x.leader") == F.col("y.leader")).where(
+    met = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.band") == F.col("y.other")) & (F.col("x.other") == F.col("y.band"))
+    pairs = x.join(y, met).where(
         (F.col("x.doc") != F.col("y.doc"))
         & (F.col("x.component") != F.col("y.component"))
         & (F.col("y.differs") <= F.col("x.free") + allowed)
         & (F.col("x.differs") <= F.col("y.free") + allowed)
+        & ~(F.col("y.away") & (F.col("x.doc") > F.col("y.doc")))
     )
-    pairs = materialize(pairs.select(F.col("x.leader").alias("leader"), F.col("x.doc").alias("x"), F.col("y.doc").alias("y")), "rest")
-    if pairs.isEmpty():
-        return None
-    found = counted.select("leader", "doc", "size", "elements")
-    full = pairs.join(found.select("leader", F.col("doc").alias("x"), F.col("size").alias("nx"), F.col("elements").alias("dx")), ["leader", "x"])
-    full = full.join(found.select("leader", F.col("doc").alias("y"), F.col("size").alias("ny"), F.col("elements").alias("dy")), ["leader", "y"])
-    return materialize(_verified(full, percent).distinct(), "rest-links")
+    return pairs.select(F.col("x.leader").alias("leader"), F.col("x.doc").alias("x"), F.col("y.doc").alias("y")).distinct()
