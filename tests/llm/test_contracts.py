@@ -7,6 +7,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -153,7 +154,8 @@ def test_op8_random_runs(spark):
 def test_op8_terms_that_stand_with_one_entity(spark):
     texts = [f"some plain words of every day and number {i}" for i in range(30)]
     texts += ["some plain words of user77x write to ann@example.org every day"] * 2 + ["some plain words of staff-4411 call +44 20 7946 0958 every day"]
-    rows = {r.doc_id: [v for v in r.terms] for r in pii.sanitised(hard_docs(spark, texts)).collect()}
+    words = F.transform(pii.term_spans(F.col("text"), F.col("terms")), lambda s: s["value"]).alias("words")
+    rows = {r.doc_id: r.words for r in pii.sanitised(hard_docs(spark, texts)).select("doc_id", words).collect()}
     assert rows[30] == rows[31] and "user77x" in rows[30] and "staff-4411" in rows[32] and not {"plain", "words", "0958", "ann@example.org"} & {*rows[30], *rows[32]}
     out = {r.doc_id: r.text for r in pii.masked(hard_docs(spark, texts)).collect()}
     assert "user77x" not in out[31] and "4411" not in out[32] and out[0] == texts[0]

@@ -7,8 +7,12 @@ the disclosure is the share of the term's documents that hold the entity, ``doub
 documents without it added, and the information is log2 of that share over the entity's
 share of all documents. Pairs that reach both thresholds are disclosing; in documents
 that hold the entity the term is masked. With the usual thresholds a term that stands
-with one entity alone discloses it, were it in a single document. Copies of a text under
-several ids count as one document. Words that overlap a base span are no terms.
+with one entity alone discloses it, were it in a single document. Entities in so many
+documents that no share gives the bits have no terms. Copies of a text, under one id or
+several, count as one document. Words that overlap a base span are no terms.
+
+Terms and entities are counted by their 64-bit hashes. Of the whole corpus only terms
+that stand beside an entity are counted, and only those that mostly do meet entities.
 
 All matching runs as pattern functions over whole texts. Single separators within a
 card number and single dots within a mail host are first turned into stand-ins of the
@@ -16,8 +20,9 @@ same length, so that every pattern is a run over one class of characters: time a
 stack stay bounded on long runs.
 
 Defined cases: null and empty texts have no spans; positions count code points, the
-end is exclusive; repeated rows each count as a document; rows with a null id have
-base spans but no terms.
+end is exclusive; repeated rows count as one document and get the same spans; rows with
+a null id count and are judged like any other. Work grows with the length of a text and
+its spans, not with their product, in texts of MANY spans and more.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Stand-ins for separators within a card number and for dots within a host name.
@@ -41,20 +46,54 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 
+SPAN = "struct<kind:string,start:int,end:int,value:string>"
+CHUNK, MANY = 128, 64
+
+
+def _none(kind: str = SPAN) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, though it is used in a function that is applied to many elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(values: Column, join) -> Column:
+    """For each place of an int array what ``join`` makes of all values before it, beginning with 0.
+
+    By chunks, so that the arrays built step by step stay short.
+    """
+
+    def steps(part: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), _none("int").alias("out"))
+        return F.aggregate(part, begin, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def chunked(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / CHUNK).cast("int"), F.lit(0))), lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def scanned(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: join(a, x)))
+        return F.flatten(F.zip_with(chunks, steps(totals, F.lit(0)), steps))
+
+    return _with(values, lambda v: _with(chunked(v), scanned))
+
+
 def _cut(text: Column, pattern: str, kind: str, valid) -> Column:
     """Spans of ``pattern``: the pieces between matches give the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
-    zipped = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + x["p"]
-        end = start + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(valid(x["m"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        start = at + x["p"]
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"))
 
-    return F.aggregate(zipped, empty, add, lambda a: a["out"])
+    def spans(zipped: Column) -> Column:
+        before = _scan(F.transform(zipped, lambda x: x["p"] + F.length(x["m"])), lambda a, x: a + x)
+        return F.filter(F.zip_with(zipped, before, span), lambda s: valid(s["value"]))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.transform(F.split(text, pattern, -1), F.length)
+    zipped = F.filter(F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("m"), p.alias("p"))), lambda x: x["m"].isNotNull())
+    return _with(zipped, spans)
 
 
 def _digits(value: Column) -> Column:
@@ -84,7 +123,7 @@ def base_spans(text: Column) -> Column:
     safe = F.when(clean.rlike(f"[{GAP}{DOT}]"), F.translate(clean, GAP + DOT, OTHER + OTHER)).otherwise(clean)
     hosts = F.regexp_replace(safe, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT)
     runs = F.regexp_replace(safe, r"(?<=[0-9])[\x20-](?=[0-9])", GAP)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    none = _none()
     anything = lambda m: F.lit(True)
     return F.concat(
         F.when(F.contains(safe, F.lit("@")), _cut(hosts, EMAIL, "email", anything)).otherwise(none),
@@ -95,87 +134,117 @@ def base_spans(text: Column) -> Column:
 
 
 def _entity(span: Column) -> Column:
-    """Kind and value of a span, the value without separators or letter case."""
+    """Hash of a span's kind and value, the value without separators or letter case."""
     bare = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(F.translate(span["value"], DOT, ".")))
-    return F.concat(span["kind"], F.lit(":"), bare)
+    return F.xxhash64(span["kind"], bare)
 
 
 def _terms(text: Column) -> Column:
-    """Distinct words without their outer punctuation, lower-cased."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+[^\p{L}\p{N}]*|[^\p{L}\p{N}]+(?=[\x20\x09-\x0D]|$)"), lambda w: w != ""))
+    """Hashes of the distinct words without their outer punctuation, lower-cased."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+[^\p{L}\p{N}]*|[^\p{L}\p{N}]+(?=[\x20\x09-\x0D]|$)"), lambda w: w != ""))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _rebuilt(text: Column, spans: Column, shown) -> Column:
+    """The text with ``shown(span)`` for each span; one that begins inside an earlier one only extends what is hidden."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def put_together(ordered: Column, cut) -> Column:
+        reach = _scan(F.transform(ordered, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        pieces = F.zip_with(ordered, reach, lambda s, r: F.when(s["start"] >= r, F.concat(cut(r, s["start"] - r), shown(s))).otherwise(""))
+        last = F.array_max(F.transform(ordered, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(last, F.length(text) - last))
+
+    def by_signs(o: Column) -> Column:
+        return _with(F.split(text, ""), lambda signs: put_together(o, lambda at, n: F.array_join(F.slice(signs, at + 1, n), "")))
+
+    # Cutting a string goes through it from its start; for many spans its signs are cut from an array.
+    few = _with(ordered, lambda o: put_together(o, lambda at, n: F.substring(text, at + 1, n)))
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) < MANY, few).otherwise(_with(ordered, by_signs))
 
 
 def _outside(text: Column, spans: Column) -> Column:
-    """The text with a placeholder in each word that a base span touches, so that no term comes from it."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    """The text without the words that a base span touches, so that no term comes from them."""
+    return F.regexp_replace(_rebuilt(text, spans, lambda s: F.lit(HIDDEN)), rf"[^\x20\x09-\x0D{HIDDEN}]*+{HIDDEN}[^\x20\x09-\x0D]*+", " ")
 
-    def add(a: Column, s: Column) -> Column:
-        shown = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(HIDDEN))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], shown).otherwise(a["out"]).alias("out"))
 
-    rest = F.aggregate(ordered, empty, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.regexp_replace(rest, rf"[^\x20\x09-\x0D{HIDDEN}]*+{HIDDEN}[^\x20\x09-\x0D]*+", " ")
+def _key(text: Column) -> list[Column]:
+    """96 bits that stand for a text."""
+    return [F.xxhash64(text).alias("h"), F.hash(text).alias("g")]
+
+
+#: Rows of two or three numbers that may be broadcast; above it they are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def found_in(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row id, id, spans) of all rows; only rows with spans carry their text along."""
+    """(id, h, g, spans, text) of all rows; only rows with spans carry their text along."""
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("spans", base_spans(F.col("text")))
+    rows = rows.select("id", *_key(F.col("text")), base_spans(F.col("text")).alias("spans"), "text")
     return rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
 
 
-def _copies(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids of documents whose text stands under a smaller id too."""
-    keys = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("key"))
-    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    return materialize(keys.join(first, "key").where("id > first").select("id").distinct(), "copies")
-
-
-def disclosing(found: DataFrame, documents: DataFrame, share: float = 0.8, bits: float = 3.0, doubt: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(entity, term) of the pairs whose disclosure reaches the thresholds."""
-    copies = _copies(documents, id_col, text_col)
-    holding = found.where((F.size("spans") > 0) & F.col("id").isNotNull()).join(copies, "id", "left_anti")
-    holding = holding.select("id", _outside(F.col("text"), F.col("spans")).alias("text"), F.array_distinct(F.transform("spans", _entity)).alias("entities"))
-    per_entity = holding.select(_terms(F.col("text")).alias("terms"), F.explode("entities").alias("entity"))
-    often = materialize(per_entity.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")), "entities")
-    met = per_entity.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    met = materialize(met, "met")
-    wanted = met.select("term").distinct()
-    single = documents.join(copies.withColumnRenamed("id", id_col), id_col, "left_anti")
-    everywhere = single.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = single.count()
-    scored = met.join(everywhere.join(wanted, "term", "left_semi"), "term").where(F.col("n_both") >= share * (F.col("n_term") + doubt)).join(often, "entity")
-    strong = F.log2(F.col("n_both") * F.lit(float(total)) / ((F.col("n_term") + doubt) * F.col("n_entity"))) >= bits
-    return scored.where(strong).select("entity", "term")
+def disclosing(found: DataFrame, documents: DataFrame, share: float = 0.8, bits: float = 3.0, doubt: float = 0.25, text_col: str = "text") -> DataFrame | None:
+    """(h, g, terms) of the texts with terms whose disclosure of an entity of the text reaches the thresholds; terms are hashes."""
+    texts = materialize(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("rows")), "texts")
+    total = texts.count()
+    repeated = texts.where("rows > 1").select("h", "g", "rows")
+    holding = found.where(F.size("spans") > 0).groupBy("h", "g").agg(F.first(F.struct("text", "spans")).alias("x"))
+    holding = holding.select("h", "g", F.array_distinct(F.transform("x.spans", _entity)).alias("entities"), _terms(_outside(F.col("x.text"), F.col("x.spans"))).alias("terms"))
+    holding = materialize(holding, "holding")
+    entities = holding.select("h", "g", F.explode("entities").alias("entity"))
+    # A share is below 1, so an entity in more than one of 2 ** bits documents can't be disclosed.
+    often = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") * F.lit(2.0**bits) < total)
+    often = materialize(often, "entities")
+    rare = materialize(entities.join(often, "entity").select("h", "g", "entity", "n_entity"), "held")
+    own = holding.join(rare.select("h", "g").distinct(), ["h", "g"], "left_semi").select("h", "g", F.explode("terms").alias("term"))
+    beside = materialize(own.groupBy("term").agg(F.count(F.lit(1)).alias("n_with")), "beside")
+    # Each text counts once: a row of a text that n rows have counts 1 / n.
+    rows = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("text", *_key(F.col("text")))
+    rows = rows.join(_near(repeated), ["h", "g"], "left").select(F.explode(_terms(F.col("text"))).alias("term"), F.coalesce(1 / F.col("rows"), F.lit(1.0)).alias("part"))
+    counted = rows.join(_near(beside.select("term")), "term", "left_semi").groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
+    strong = beside.join(counted, "term").where(F.col("n_with") >= share * (F.col("n_term") + doubt)).select("term", "n_term")
+    strong = materialize(strong, "strong")
+    met = materialize(own.join(_near(strong), "term").join(rare, ["h", "g"]).select("h", "g", "term", "entity", "n_term", "n_entity"), "met")
+    both = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    told = F.log2(F.col("n_both") * F.lit(float(total)) / ((F.col("n_term") + doubt) * F.col("n_entity"))) >= bits
+    pairs = both.where((F.col("n_both") >= share * (F.col("n_term") + doubt)) & told).select("entity", "term")
+    out = materialize(met.join(pairs, ["entity", "term"]).groupBy("h", "g").agg(F.sort_array(F.collect_set("term")).alias("terms")), "terms")  # words of one text
+    discard(texts, holding, often, rare, beside, strong, met)
+    return out
+
+
+def _terms_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with the column ``terms`` by h and g, empty where there are none."""
+    small = terms.agg(F.coalesce(F.sum(F.size("terms") + 4), F.lit(0)).alias("n")).first()["n"] <= 4 * BROADCAST_ROWS  # 8 bytes each
+    return rows.join(F.broadcast(terms) if small else terms, ["h", "g"], "left").withColumn("terms", F.coalesce("terms", _none("long")))
 
 
 def sanitised(documents: DataFrame, share: float = 0.8, bits: float = 3.0, doubt: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, ``base`` spans and ``terms`` (lower-case words that disclose an entity of the row)."""
+    """Per row: the id, ``text`` (null without base spans), ``base`` spans and ``terms`` (hashes of lower-case words that disclose an entity of the row)."""
     found = materialize(found_in(documents, id_col, text_col), "pii")
-    pairs = disclosing(found, documents, share, bits, doubt, id_col, text_col)
-    per_entity = found.where((F.size("spans") > 0) & F.col("id").isNotNull()).select("id", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"), _terms(_outside(F.col("text"), F.col("spans"))).alias("own"))
-    held = per_entity.select("id", "entity", F.explode("own").alias("term")).join(pairs, ["entity", "term"]).select("id", "term").distinct()
-    terms = held.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # words of one text
-    return found.join(terms, "id", "left").select(F.col("id").alias(id_col), "text", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    terms = disclosing(found, documents, share, bits, doubt, text_col)
+    return _terms_of(found, terms).select(F.col("id").alias(id_col), "text", F.col("spans").alias("base"), "terms")
 
 
 def term_spans(text: Column, terms: Column) -> Column:
-    """Where the words of ``terms`` stand, as spans of kind ``term``."""
+    """Where the words stand whose hashes are in ``terms``, as spans of kind ``term``."""
     pieces = F.split(text, WHITE, -1)
     gaps = F.regexp_extract_all(text, F.lit(WHITE), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
+    zipped = F.zip_with(pieces, gaps, lambda w, g: F.struct(w.alias("w"), (F.length(w) + F.coalesce(F.length(g), F.lit(0))).alias("n")))
 
-    def add(a: Column, x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["w"], r"^[^\p{L}\p{N}]*", 0))
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(F.regexp_extract(x["w"], r"^[^\p{L}\p{N}]*", 0))
         core = F.regexp_replace(F.regexp_replace(x["w"], r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+$", "")
-        start = a["at"] + lead
-        span = F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"))
-        after = a["at"] + F.length(x["w"]) + F.coalesce(F.length(x["g"]), F.lit(0))
-        return F.struct(after.alias("at"), F.when((core != "") & F.array_contains(terms, F.lower(core)), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        return F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"))
 
-    zipped = F.zip_with(pieces, gaps, lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    return F.when(F.size(terms) > 0, F.aggregate(zipped, empty, add, lambda a: a["out"])).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+    spans = _with(zipped, lambda z: F.zip_with(z, _scan(F.transform(z, lambda x: x["n"]), lambda a, x: a + x), span))
+    wanted = F.filter(spans, lambda s: (s["value"] != "") & F.array_contains(terms, F.xxhash64(F.lower(s["value"]))))
+    return F.when(F.size(terms) > 0, wanted).otherwise(_none())
 
 
 def _joined(spans: Column) -> Column:
@@ -194,19 +263,13 @@ def digests(documents: DataFrame) -> DataFrame:
 
 def masked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with their base spans replaced by ``[KIND]`` and disclosing terms by ``[TERM]``; other columns stay."""
-    terms = sanitised(documents, id_col=id_col, text_col=text_col).where(F.size("terms") > 0).select(F.col(id_col).alias("_id"), "terms").dropDuplicates(["_id"])
-    terms = materialize(terms, "terms")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = documents.select(*(F.col(f"`{c}`") for c in documents.columns))
-    rows = own.join(terms, own[id_col] == terms["_id"], "left").withColumn("_terms", F.coalesce("terms", F.array().cast("array<string>"))).drop("terms", "_id")
-    every = F.concat(base_spans(text), term_spans(text, F.col("_terms")))
-    rows = rows.withColumn("_spans", F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(a: Column, s: Column) -> Column:
-        # A span that begins inside an earlier one only extends what is hidden.
-        shown = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], shown).otherwise(a["out"]).alias("out"))
-
-    new = F.aggregate("_spans", empty, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, new).otherwise(F.col(text_col))).select(*documents.columns)
+    found = materialize(found_in(documents, id_col, text_col), "pii")
+    terms = disclosing(found, documents, text_col=text_col)
+    discard(found)
+    # All columns in one, so that none can clash with ours.
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = _terms_of(rows.select("row", "text", *_key(F.col("text"))), terms)
+    rows = rows.select("row", "text", F.concat(base_spans(F.col("text")), term_spans(F.col("text"), F.col("terms"))).alias("spans"))
+    new = _rebuilt(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    rows = rows.select("row", F.when(F.size("spans") > 0, new).otherwise(F.col("row")[text_col]).alias("new"))
+    return rows.select(*(F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in documents.columns))
