@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary
-    folder is made and kept in the session's settings.
+    Where ``spark.checkpoint.dir`` is unset a temporary folder is made and kept in the
+    session's settings, on a local master only: executors elsewhere could not read it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("vestigia.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="vestigia-")
         spark.conf.set("vestigia.shared.dir", found)
     return found.rstrip("/")
@@ -27,6 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_recorders: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that are materialized inside, for a caller who knows when nothing reads them any more."""
+    tables: list[DataFrame] = []
+    _recorders.append(tables)
+    try:
+        yield tables
+    finally:
+        _recorders.remove(tables)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
@@ -47,6 +65,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._vestigia_path = path
+    for tables in _recorders:
+        tables.append(out)
     return out
 
 
