@@ -34,7 +34,7 @@ def _stage(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for name in [n for n in _made if n != function.__name__]:
-            discard(*_made.pop(name))
+            discard(*(t for t in _made.pop(name) if t.sparkSession.sparkContext is spark.sparkContext))
         with recorded() as tables:
             out = function(spark, docs, sf_dir)
         _made.setdefault(function.__name__, []).extend(tables)
