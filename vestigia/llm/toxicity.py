@@ -1,8 +1,11 @@
 """Toxicity scores by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, one on ordinary and one
-on toxic documents. Both begin with the same ordinary text, so that whatever they
-share costs the same in both, and end with the terms that mark their own class.
+Two zstandard dictionaries are made from labelled text, one for ordinary and one for
+toxic documents. Both begin with the same ordinary text, so that whatever they share
+costs the same in both, and end with the terms of their own class's text, ranked by
+likelihood ratio. Dictionaries of each class's windows alone tell little: a window is
+short, and whether its ordinary words happen to stand in one dictionary or the other
+outweighs the few words that make it toxic (the README has figures).
 A document falls into windows of a few words; the bytes that a window saves under
 the toxic dictionary against the ordinary one are turned into a log-likelihood
 ratio, calibrated on the training windows, and a logistic model over the sums
@@ -19,6 +22,7 @@ classes every score is 0; repeated ids are scored each for itself.
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +44,10 @@ class Params:
     folds: int = 5  # rows whose CRC-32 of the id leaves 0 are held out
     words: int = 4
     base_bytes: int = 60_000
-    tail_bytes: int = 400
+    tail_bytes: int = 1200
+    least_ratio: float = 2.0  # log-likelihood ratio of the terms of a tail
     level: int = 3
-    min_share: float = 0.01  # of a class's documents that must hold a term
+    min_share: float = 0.005  # of a class's documents that must hold a term
     positive_weight: float = 2.5
     seed: int = 7
 
@@ -104,15 +109,16 @@ def _terms(texts: list[str]) -> Counter:
     return Counter(w for t in texts for w in set(t.lower().split()))
 
 
-def _tail(own: Counter, other: Counter, least: float, size: int) -> bytes:
-    """The most widespread terms that the other class lacks, the commonest last: it is the cheapest to refer to."""
-    out = b""
-    for count, word in sorted(((c, w) for w, c in own.items() if c >= least and w not in other), reverse=True):
+def _tail(own: Counter, other: Counter, n_own: int, n_other: int, params: Params) -> bytes:
+    """The terms that tell a class by likelihood ratio and number, the most telling last: it is the cheapest to refer to."""
+    least, out = max(3, params.min_share * n_own), b""
+    ratio = {w: math.log((c + 0.5) / (n_own + 1)) - math.log((other[w] + 0.5) / (n_other + 1)) for w, c in own.items() if c >= least}
+    for _, word in sorted((-r * own[w] ** 0.5, w) for w, r in ratio.items() if r >= params.least_ratio):
         piece = f" {word} ".encode()
-        if len(out) + len(piece) > size:
+        if len(out) + len(piece) > params.tail_bytes:
             break
         out = piece + out
-    return out.rjust(size, b"_")
+    return out.rjust(params.tail_bytes, b"_")
 
 
 def fit(rows: list[tuple[str, int]], params: Params) -> Model | None:
@@ -125,8 +131,8 @@ def fit(rows: list[tuple[str, int]], params: Params) -> Model | None:
     rng.shuffle(ordinary)
     base = b"".join(ordinary)[: params.base_bytes]
     counts = [_terms(texts[0]), _terms(texts[1])]
-    least = [max(3, params.min_share * len(texts[y])) for y in (0, 1)]
-    model = Model(params, base + _tail(counts[0], counts[1], least[0], params.tail_bytes), base + _tail(counts[1], counts[0], least[1], params.tail_bytes))
+    n = len(texts[0]), len(texts[1])
+    model = Model(params, base + _tail(counts[0], counts[1], n[0], n[1], params), base + _tail(counts[1], counts[0], n[1], n[0], params))
     scorer = model.scorer()
     found = [(scorer.histogram(t), y) for y in (0, 1) for t in texts[y]]
     by_class = [sum((h for h, y in found if y == c), np.zeros(HIGH - LOW + 1)) for c in (0, 1)]
