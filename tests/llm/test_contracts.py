@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 from tests.llm import brute
-from vestigia.llm import bpe, chat, decontamination, html_text, jaccard, pii, quality, toxicity, urls
+from vestigia.llm import bpe, chat, decontamination, html_text, jaccard, licenses, pii, quality, toxicity, urls
 from vestigia.llm.queries import QUERIES, TOKENIZER, URL_PARAMS
 
 SF = "/root/testdata/sf0.01"
@@ -212,3 +212,78 @@ def test_pipeline_keeps_clean_rows_and_columns(spark):
     rows = __spark_entry__.queries()["pipeline"](spark, SF).collect()
     total = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.5 * total < len(rows) < total and all(len(r.ids) == 4 * r.n_tokens for r in rows)
+
+
+def test_op1_labels_reach_hosts_without_a_rule(spark):
+    rules = (urls.Rule("block", "a.org", "/es/"), urls.Rule("allow", "a.org", "/"))
+    pages = [f"https://{h}/{lang}/{i}" for h in ("x.a.org", "b.net") for lang in ("es", "en") for i in range(40)]
+    pages += [None, "", "no scheme", "http://b.net/" + "/".join("abcdefghijkl") + "/end", pages[0]]
+    rows = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(pages)], "page_id long, url string, host string")
+    found = {r.page_id: r for r in urls.judge(rows, urls.Params(rules)).collect()}
+    assert len(found) == len(pages)
+    for i, u in enumerate(pages[:160]):
+        assert (found[i].verdict == "block") == ("/es/" in u), (u, found[i])
+        assert (found[i].rule is None) == ("b.net" in u)
+    assert found[160].verdict == "allow" and found[163].template.count("/") == 13
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Prose here. Released under the MIT License. More prose.", [(0, "MIT")]),
+        ("x\nThis work is licensed under the\nGNU General Public License, version 3.\nLicensed under CC BY-NC 4.0. Licensed under CC BY 4.0.", [(1, "GPL-3.0"), (3, "CC-BY-NC-4.0"), (3, "CC-BY-4.0")]),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", [(0, "GPL-3.0-or-later")]),
+        ("Copyright 2020\n\n" + licenses.FULL_TEXTS["MIT"].replace("sublicense", "sublicence") + "\nend", [(2, "MIT")]),
+        (licenses.FULL_TEXTS["BSD-3-Clause"], [(0, "BSD-3-Clause")]),
+        (licenses.FULL_TEXTS["BSD-2-Clause"], [(0, "BSD-2-Clause")]),
+        ("not released under the MIT License.", []),
+        ("Licensed under the Apache License, Version 2.1.", []),
+        ("We like licenses and redistribution.", []),
+        ("", []),
+    ],
+)
+def test_op4_passages(text, want):
+    assert [x[:2] for x in licenses.Scanner(licenses.standard()).found(text)] == want
+
+
+def test_op4_equals_a_lookup_of_whole_lines_on_the_table(spark):
+    lines = {t: n for n, t in licenses.TEMPLATES.items()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op4_license_scans"](spark, SF).collect():
+        want = [lines[x.strip()] for x in texts[r.doc_id].split("\n") if x.strip() in lines]
+        assert r.n_blocks == len(want) and r.licenses == ",".join(sorted(set(want))), texts[r.doc_id]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div><p hidden>n</p>ok", "yes\nok"),
+        ("<ul><li><p>x</p><li>z<ul><li>q</ul></ul>", "- x\n\n- z\n  - q"),
+        ("<table><tr><td rowspan=2>A<td colspan=2>wide<td>E<tr><td>b<td>c<td>d</table>", "A  wide  E\n   b  c  d"),
+        ("<div>" * 5000 + "<span hidden>SECRET</span>t", "t"),
+        (None, ""),
+    ],
+)
+def test_op10_layout(page, want):
+    assert html_text.extract(page) == want
+
+
+def test_op3_low_thresholds_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "c d"), (4, None), (None, "x y z")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(rows, words=1, percent=50).collect()}
+    assert found == {1: (1, 1), 2: (2, 1), 3: (2, 3), 4: (0, 4), None: (3, None)}
+
+
+def test_op6_rows_with_one_id_are_judged_by_their_own_text(spark):
+    item = "the quick brown fox jumps over the lazy dog beside 12 green hills"
+    docs = spark.createDataFrame([(1, item, "c"), (1, "nothing of it", "c"), (None, item, "c"), (2, None, "c")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.contaminated for r in decontamination.judge(docs.drop("item_id"), bench).collect()) == [False, False, False, True]
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontamination.clean(docs, bench).collect()) == [(0, item), (1, "nothing of it"), (2, "")]
+
+
+def test_op8_long_texts_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "1.2.3.4 " * 20000, "t"), (2, None, "t"), (2, "mail a@b.co", None)], "doc_id long, text string, terms string")
+    found = pii.masked(rows)
+    assert found.columns == rows.columns
+    assert sorted((r.doc_id, r.text or "") for r in found.collect()) == [(1, "[IP] " * 20000), (2, ""), (2, "mail [EMAIL]")]

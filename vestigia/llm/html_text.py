@@ -9,8 +9,10 @@ a table are padded to the widest of their column.
 
 Defined cases: null and empty pages give an empty text; unclosed and stray tags, broken
 attributes and unknown entities never fail; nesting of any depth is handled without
-recursion, and beyond ``DEEP`` open elements further ones are taken as their parent's;
-repeated rows are rendered each for itself.
+recursion (tables within tables recurse, and those nested deeper than Python allows are
+rendered as plain blocks); ``visibility:visible`` shows what a hidden ancestor hides,
+nothing shows what ``display:none`` or ``hidden`` takes away; cells that span columns or
+rows keep the others in their columns; repeated rows are rendered each for itself.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEP = 400
+#: Tables within tables, beyond which they are blocks; what a cell may span by the standard.
+NESTED, MOST_COLUMNS, MOST_ROWS = 60, 1000, 65534
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -51,10 +55,10 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "attributes")
+    __slots__ = ("tag", "children", "hidden", "attributes", "shown")
 
-    def __init__(self, tag: str, hidden: bool = False, attributes: dict[str, str] | None = None):
-        self.tag, self.children, self.hidden, self.attributes = tag, [], hidden, attributes or {}
+    def __init__(self, tag: str, hidden: bool = False, attributes: dict[str, str] | None = None, shown: bool = True):
+        self.tag, self.children, self.hidden, self.attributes, self.shown = tag, [], hidden, attributes or {}, shown
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -63,16 +67,27 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _hidden(tag: str, attributes: dict[str, str]) -> bool:
     style = attributes.get("style", "").lower().replace(" ", "")
-    return tag in UNSEEN or "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or tag == "input" and attributes.get("type", "").lower() == "hidden"
+    return tag in UNSEEN or "hidden" in attributes or "display:none" in style or tag == "input" and attributes.get("type", "").lower() == "hidden"
+
+
+def _shown(parent: Node, attributes: dict[str, str]) -> bool:
+    """Visibility, which is inherited until an element sets it anew."""
+    found = re.findall(r"visibility:(hidden|collapse|visible)", attributes.get("style", "").lower().replace(" ", ""))
+    return found[-1] == "visible" if found else parent.shown
 
 
 def tree(page: str) -> Node:
     root = Node("#root")
     open_ = [root]
+    counts: Counter = Counter()  # of open tags, so that looking for one that isn't there costs nothing
     at = 0
 
+    def close(i: int) -> None:
+        counts.subtract(n.tag for n in open_[i:])
+        del open_[i:]
+
     def text(raw: str) -> None:
-        if raw:
+        if raw and open_[-1].shown:
             open_[-1].children.append(entities.unescape(raw))
 
     last = page.rfind(">") + 1  # beyond it nothing can be a tag
@@ -83,36 +98,40 @@ def tree(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if counts[tag] else ():
                 if open_[i].tag == tag:
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
         if tag in CLOSES:
             closed, limit = CLOSES[tag]
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if any(counts[t] for t in closed) else ():
                 if open_[i].tag in limit:
                     break
                 if open_[i].tag in closed:
-                    del open_[i:]
-        if tag in ENDS_P and any(n.tag == "p" for n in open_):
+                    close(i)
+                    if not any(counts[t] for t in closed):
+                        break
+        if tag in ENDS_P and counts["p"]:
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == "p":
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i].tag in ("table", "td", "th", "button"):
                     break
         attributes = _attributes(m[3])
-        node = Node(tag, _hidden(tag, attributes), attributes)
+        node = Node(tag, _hidden(tag, attributes), attributes, _shown(open_[-1], attributes))
         open_[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else len(page)])
+            if node.shown:
+                node.children.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/") and len(open_) < DEEP:
+        elif tag not in VOID and not m[3].endswith("/"):
             open_.append(node)
+            counts[tag] += 1
     text(page[at:])
     return root
 
@@ -125,7 +144,7 @@ class Layout:
     """Lines as they come, with the blank lines still owed."""
 
     def __init__(self):
-        self.lines, self.line, self.owed = [], "", 0
+        self.lines, self.line, self.owed, self.mark = [], "", 0, ""
 
     def write(self, text: str, kept: bool = False) -> None:
         if kept:
@@ -149,7 +168,15 @@ class Layout:
             self.owed = 0
             self.lines.append(line)
 
+    def item(self, mark: str) -> None:
+        """Begins a list item; its first block stays on the line of the mark."""
+        self.end()
+        self.line = self.mark = mark
+
     def block(self, apart: bool) -> None:
+        if self.mark and self.line == self.mark:
+            return
+        self.mark = ""
         self.end()
         if apart:
             self.owed = 1
@@ -206,8 +233,53 @@ def _rows(table: Node) -> tuple[list[list[Node]], list[object]]:
     return rows, stray
 
 
-def render(root: Node) -> str:
-    """All visible text below a node, laid out."""
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attributes.get(name, "")
+    return min(int(value), most) if re.fullmatch("[0-9]{1,9}", value) and int(value) else 1
+
+
+def _aligned(rows: list[list[Node]], depth: int) -> list[str]:
+    """Lines of a table: every cell begins at its column, cells that reach down leave their column empty."""
+    grid, widths, taken = [], Counter(), {}  # taken: rows that a column is still held for
+    for row in rows:
+        placed, column, after = [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        for cell in row:
+            while taken.get(column, 0):
+                column += 1
+            columns, down = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
+            text = render_cell(cell, depth).split("\n")
+            placed.append((column, columns, text))
+            if down > 1:
+                after |= {c: max(after.get(c, 0), down - 1) for c in range(column, column + columns)}
+            if columns == 1:
+                widths[column] = max(widths[column], *(_width(x) for x in text))
+            column += columns
+        grid.append(placed)
+        taken = after
+    for placed in grid:
+        for column, columns, text in placed:
+            lacking = max(_width(x) for x in text) - sum(widths[c] for c in range(column, column + columns)) - 2 * (columns - 1)
+            if columns > 1 and lacking > 0:
+                widths[column + columns - 1] += lacking
+    starts, at = {}, 0
+    for c in range(max((column + columns for placed in grid for column, columns, _ in placed), default=0)):
+        starts[c] = at
+        at += widths[c] + 2
+    lines = []
+    for placed in grid:
+        for k in range(max((len(text) for *_, text in placed), default=0)):
+            line, reached = [], 0
+            for column, _, text in placed:
+                piece = text[k] if k < len(text) else ""
+                if piece:
+                    line.append(" " * (starts[column] - reached) + piece)
+                    reached = starts[column] + _width(piece)
+            lines.append("".join(line))
+    return lines
+
+
+def render(root: Node, depth: int = 0) -> str:
+    """All visible text below a node, laid out; ``depth`` counts the tables around it."""
     out = Layout()
     lists: list[list] = []
     pre = 0
@@ -235,32 +307,21 @@ def render(root: Node) -> str:
             out.end(force=True)
         elif tag == "hr":
             out.block(True)
-        elif tag == "img":
+        elif tag == "img" and node.shown:
             out.write(node.attributes.get("alt", ""))
-        elif tag == "input":
+        elif tag == "input" and node.shown:
             out.write(node.attributes.get("value", "") + " ")
-        elif tag == "table" and (parts := _rows(node))[0]:
+        elif tag == "table" and depth < NESTED and (parts := _rows(node))[0]:
             rows, stray = parts
             out.block(True)
             # What is outside cells comes first, as browsers put it.
             for x in stray:
-                if text := (x if isinstance(x, str) else render(x)).strip():
+                if text := (x if isinstance(x, str) else render(x, depth + 1)).strip():
                     out.write(text + "\n", kept=True)
                     out.end()
-            cells = [[render_cell(c) for c in row] for row in rows]
-            widths: list[int] = []
-            for row in cells:
-                for i, c in enumerate(row):
-                    w = max((_width(x) for x in c.split("\n")), default=0)
-                    if i == len(widths):
-                        widths.append(w)
-                    widths[i] = max(widths[i], w)
-            for row in cells:
-                split = [c.split("\n") for c in row]
-                for k in range(max((len(x) for x in split), default=0)):
-                    parts = [(x[k] if k < len(x) else "") for x in split]
-                    out.line = "  ".join(p + " " * (w - _width(p)) for p, w in zip(parts, widths, strict=False))
-                    out.end(force=True)
+            for line in _aligned(rows, depth + 1):
+                out.line = line
+                out.end(force=True)
             out.block(True)
         else:
             if tag in BLOCK:
@@ -270,7 +331,8 @@ def render(root: Node) -> str:
                 lists.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
             elif tag == "li":
                 numbered = lists[-1] if lists else [False, 1]
-                out.line = "  " * max(0, len(lists) - 1) + (f"{numbered[1]}. " if numbered[0] else "- ")
+                if node.shown:
+                    out.item("  " * max(0, len(lists) - 1) + (f"{numbered[1]}. " if numbered[0] else "- "))
                 numbered[1] += 1
             elif tag == "q":
                 out.write('"')
@@ -281,10 +343,10 @@ def render(root: Node) -> str:
     return out.text()
 
 
-def render_cell(cell: Node) -> str:
+def render_cell(cell: Node, depth: int = 0) -> str:
     inner = Node("#cell")
     inner.children = cell.children
-    return render(inner).strip()
+    return render(inner, depth).strip()
 
 
 def extract(page: str | None) -> str:
