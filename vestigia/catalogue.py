@@ -263,7 +263,7 @@ RULES = (
 @query(_cases(*RULES))
 def risk_firewall(spark, sf_dir):
     names = ("action", "direction", "remote_address", "remote_port", "local_port", "profile", "application")
-    return _with_cases(spark, sf_dir, RULES, lambda *c: risk.firewall(dict(zip(names, c, strict=True)) | {"edge": F.lit(False)}))
+    return _with_cases(spark, sf_dir, RULES, lambda *c: risk.firewall(dict(zip(names, c, strict=True)) | {"edge": F.lit(False), "enabled": F.lit(True)}))
 
 
 @query("""SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(lower(url), '://[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}') THEN 'ip_address_url' END,

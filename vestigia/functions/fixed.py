@@ -115,3 +115,35 @@ SCOPES = {
     "lateral_movement": (("authentication", "network"), ("evtx_security", "evtx_rdp", "firewall", "dns_cache"), 100),
     "data_exfiltration": (("file_system", "network", "user_activity"), ("usnjrnl", "mft", "browser_history", "recent_files", "shellbags"), 100),
 }
+
+# Words and paths of the risk rules by artifact; fixed values.
+POWERSHELL_NAMES = ("powershell", "pwsh")
+ENCODED = ("-enc", "-encodedcommand")
+WMI_PATHS = ("\\temp\\", "\\tmp\\", "\\appdata\\", "\\programdata\\")
+WMI_TOOLS = ("cmd.exe", "wscript", "cscript", "mshta", "regsvr32")
+WMI_DOWNLOADS = ("downloadstring", "invoke-expression", "iex", "webclient", "downloadfile")
+WMI_STARTUP = ("win32_logonsession", "startup", "logon")
+RUN_HOSTS = ("powershell", "cmd.exe", "wscript", "cscript", "mshta")
+BAM_PATHS = ("\\temp\\", "\\tmp\\", "\\appdata\\local\\temp\\", "\\public\\", "\\downloads\\", "\\users\\public\\")
+BAM_REMOTE = ("psexec", "paexec", "winrm", "wmic")
+BAM_TOOLS = ("mimikatz", "procdump", "rubeus", "lazagne", "bloodhound")
+MUI_PATHS = ("\\temp\\", "\\tmp\\", "\\appdata\\local\\temp\\", "\\public\\", "\\downloads\\", "\\desktop\\")
+MUI_REMOTE = ("psexec", "winrm", "wmic", "mstsc")
+MUI_TOOLS = ("mimikatz", "procdump", "lazagne", "rubeus")
+MUI_EXTENSIONS = ("exe", "msc", "cpl", "dll")
+RECENT_PATHS = ("\\temp\\", "\\tmp\\", "\\appdata\\local\\temp\\", "\\downloads\\", "\\public\\")
+RECENT_REMOTE = ("psexec", "mstsc", "wmic", "winrm")
+RECENT_TOOLS = ("mimikatz", "procdump", "lazagne", "rubeus", "bloodhound")
+CRASH_CODES = ("c0000005", "c00000fd", "c000001d", "c0000096", "c0000409", "80000003")
+CRASH_APPS = {
+    "system_process_crash": ("lsass.exe", "csrss.exe", "services.exe", "svchost.exe", "winlogon.exe"),
+    "security_software_crash": ("defender", "antivirus", "antimalware", "security"),
+    "browser_crash": ("chrome", "firefox", "edge", "iexplore", "opera"),
+    "office_crash": ("winword", "excel", "powerpnt", "outlook"),
+}
+CRASH_MODULES = ("flash", "java", "silverlight", "acrobat", "reader")
+CACHE_PATHS = ("\\temp\\", "\\tmp\\", "\\appdata\\local\\temp\\", "\\users\\public\\", "\\programdata\\")
+CACHE_SCRIPTS = (".ps1", ".bat", ".cmd", ".vbs", ".js", ".hta")
+CACHE_TOOLS = ("mimikatz", "procdump", "psexec", "lazagne")
+#: Columns shown for records of a kind when none are named; fixed values.
+SHOWN_COLUMNS = {"event_id": ("timestamp", "event_id", "provider_name", "channel", "computer"), "run_count": ("timestamp", "executable_name", "run_count"), "key_path": ("timestamp", "key_path", "value_name")}

@@ -28,3 +28,48 @@ def from_dos(date: Column, time: Column) -> Column:
     year, month, day = F.shiftright(date, 9) + 1980, F.shiftright(date, 5).bitwiseAND(15), date.bitwiseAND(31)
     hour, minute, second = F.shiftright(time, 11), F.shiftright(time, 5).bitwiseAND(63), time.bitwiseAND(31) * 2
     return F.try_make_timestamp(year, month, day, hour, minute, second)
+
+
+def from_filetime_text(value: Column) -> Column:
+    """Decimal ticks, else an ISO time; null for anything else."""
+    return F.coalesce(from_filetime(value.try_cast("bigint")), F.try_to_timestamp(value))
+
+
+def from_filetime_hex(value: Column) -> Column:
+    """Ticks as hexadecimal digits, with or without 0x; null for anything else."""
+    digits = F.regexp_replace(F.lower(value), "^0x", "")
+    return F.when(digits.rlike("^[0-9a-f]{1,16}$"), from_filetime(F.conv(digits, 16, 10).try_cast("bigint")))
+
+
+def from_mozilla(micros: Column) -> Column:
+    """Microseconds since 1970; null where not positive."""
+    return F.when(micros > 0, F.timestamp_micros(micros))
+
+
+def from_unix(seconds: Column) -> Column:
+    """Seconds since 1970; null where not positive."""
+    return F.when(seconds > 0, F.timestamp_seconds(seconds))
+
+
+def from_ole(days: Column) -> Column:
+    """Days since 1899-12-30, with a fraction."""
+    return F.timestamp_micros(F.round((days - 25569) * 86_400_000_000).cast("bigint"))
+
+
+def from_systemtime(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, milli: Column) -> Column:
+    """Eight 16-bit fields but the weekday; null out of 1970 to 2100 or where a field is out of range."""
+    return F.when(year.between(1970, 2100), F.try_make_timestamp(year, month, day, hour, minute, second + milli.cast("decimal(10,3)") / 1000))
+
+
+def from_day(value: Column) -> Column:
+    """``YYYYMMDD``; null for anything else."""
+    return F.when(value.rlike("^[0-9]{8}$"), F.try_to_timestamp(value, F.lit("yyyyMMdd")))
+
+
+#: Years that a time must lie in to be taken as one, by artifact; fixed values.
+PLAUSIBLE = {"bam": (2017, 2100), "recentapps": (2015, 2100), "networkconfig": (2000, 2100), "typedurls": (2000, 2100), "syscache": (2000, 2100), "srum": (2010, 2030)}
+
+
+def plausible(at: Column, artifact: str) -> Column:
+    """The time where its year lies in the artifact's window, else null."""
+    return F.when(F.year(at).between(*PLAUSIBLE[artifact]), at)

@@ -15,10 +15,6 @@ def _all(col: Column, pattern: str, hint: str | None = None) -> Column:
     return F.when(F.contains(col, F.lit(hint)), found).otherwise(none) if hint else found
 
 
-def _inside(x: Column, longer: Column) -> Column:
-    return F.exists(longer, lambda y: F.contains(y, x))
-
-
 def _rows(values: Column, step: int, kind: str, tag: str | None = None) -> Column:
     return F.transform(values, lambda v, i: F.struct(F.lit(step).alias("step"), i.alias("i"), F.lit(kind).alias("ioc_type"), v.alias("value"), F.lit(tag).cast("string").alias("tag")))
 
@@ -31,8 +27,10 @@ def matches(content: Column, private: bool = False) -> Column:
     domains = F.filter(_all(content, fixed.DOMAIN, "."), lambda v: ~F.lower(v).isin(*fixed.EXCLUDED_DOMAINS) & ~v.rlike(f"^(?:{fixed.IPV4})") & (F.length(v) >= 4))
     urls = F.transform(_all(content, fixed.URL, "://"), lambda v: F.rtrim(v, F.lit(fixed.URL_TAIL)))
     sha256, sha1, md5 = (F.transform(_all(content, p), F.lower) for p in (fixed.SHA256, fixed.SHA1, fixed.MD5))
-    sha1 = F.filter(sha1, lambda v: ~_inside(v, sha256))
-    md5 = F.filter(md5, lambda v: ~_inside(v, sha256) & ~_inside(v, sha1))
+    # A hash of one length stands in a longer one only as a part of it: the longer ones as one string, searched once a text.
+    longer = F.array_join(sha256, " ")
+    sha1 = F.get(F.transform(F.array(longer), lambda told: F.filter(sha1, lambda v: ~F.contains(told, v))), F.lit(0))
+    md5 = F.get(F.transform(F.array(F.concat_ws(" ", longer, F.array_join(sha1, " "))), lambda told: F.filter(md5, lambda v: ~F.contains(told, v))), F.lit(0))
     mail = F.filter(F.transform(_all(content, fixed.EMAIL, "@"), F.lower), lambda v: ~v.rlike("(" + "|".join(d.replace(".", r"\.") for d in fixed.EXCLUDED_MAIL) + ")$"))
     return F.concat(
         _rows(ip4, 1, "ip"),
@@ -46,6 +44,31 @@ def matches(content: Column, private: bool = False) -> Column:
     )
 
 
+def of_visits(url: Column, title: Column) -> Column:
+    """What a browser record tells beside its text: its whole URL, and the host if it is a valid domain."""
+    host = text.netloc(url)
+    valid = ~F.lower(host).isin(*fixed.EXCLUDED_DOMAINS) & ~host.rlike(f"^(?:{fixed.IPV4})") & (F.length(host) >= 4)
+    rows = F.array(
+        F.when(url != "", F.struct(F.lit(9).alias("step"), F.lit(0).alias("i"), F.lit("url").alias("ioc_type"), url.alias("value"), F.lit("browser_history").alias("tag"), title.alias("context"))),
+        F.when((host != "") & valid, F.struct(F.lit(9).alias("step"), F.lit(1).alias("i"), F.lit("domain").alias("ioc_type"), host.alias("value"), F.lit("browser_history").alias("tag"), title.alias("context"))),
+    )
+    return F.filter(rows, lambda x: x.isNotNull())
+
+
+def of_events(address: Column, event_id: Column) -> Column:
+    """The address of an event log record, whatever its form, unless private; logons are tagged."""
+    public = (address != "") & ~address.rlike(fixed.PRIVATE) & (address != "255.255.255.255")
+    tag = F.when(event_id.isin(4624, 4625), "network_logon").alias("tag")
+    row = F.struct(F.lit(10).alias("step"), F.lit(0).alias("i"), F.lit("ip").alias("ioc_type"), address.alias("value"), tag, F.concat(F.lit("EventID:"), event_id.cast("string")).alias("context"))
+    return F.filter(F.array(F.when(public, row)), lambda x: x.isNotNull())
+
+
+def ranked(found: DataFrame, most: int | None = None) -> DataFrame:
+    """Deduplicated indicators, the most frequent first, of equals the one seen first; with ``most`` a top-k."""
+    out = found.orderBy(F.desc("occurrence_count"), "first_ord")
+    return out.limit(most) if most else out
+
+
 def occurrences(records: DataFrame, key: str, content: str, private: bool = False, source: str = "text") -> DataFrame:
     """(ord, source, ioc_type, value, tag) per match; ``key`` orders the records."""
     found = records.select(F.col(key).alias("ord_key"), F.explode(matches(F.col(content), private)).alias("m"))

@@ -68,5 +68,34 @@ def commands(df: DataFrame, key: str, timestamp: str, command: Column) -> DataFr
     )
 
 
+def changes(df: DataFrame, key: str, timestamp: str, name: Column, reasons: Column) -> DataFrame:
+    """Entries of a change journal; ``reasons`` is an array of names."""
+    told = F.array_join(reasons, ", ")
+    return _events(df, key, timestamp, "usnjrnl", event_type=F.lit("file_activity"), description=F.concat(F.lit("File change: "), name, F.lit(" ("), told, F.lit(")")), target=name, action=told, tags=F.array(F.lit("file")))
+
+
+def shortcuts(df: DataFrame, key: str, timestamp: str, target: Column) -> DataFrame:
+    return _events(
+        df, key, timestamp, "lnk", event_type=F.lit("file_access"), description=F.concat(F.lit("Shortcut accessed: "), target), target=target,
+        action=F.lit("shortcut_access"), tags=F.array(F.lit("user_activity")),
+    )
+
+
+#: What introduces a persistent program in its description, by source; fixed values.
+PERSISTENT = {"scheduledtasks": "Scheduled Task: ", "services": "Service: ", "wmi": "WMI Persistence: "}
+
+
+def persistence(df: DataFrame, key: str, timestamp: str, source: str, name: Column, indicators: Column) -> DataFrame:
+    return _events(
+        df, key, timestamp, source, event_type=F.lit("persistence"), description=F.concat(F.lit(PERSISTENT[source]), name), target=name, action=F.lit("persistence"),
+        severity=F.when(F.size(indicators) > 0, "high").otherwise("info"), tags=F.concat(F.array(F.lit("persistence")), indicators),
+    )
+
+
+def activities(df: DataFrame, key: str, timestamp: str, source: str) -> DataFrame:
+    """Records of any other source."""
+    return _events(df, key, timestamp, source, event_type=F.lit("activity"), description=F.lit(f"Activity from {source}"))
+
+
 def merged(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
