@@ -5,6 +5,7 @@ import re
 import struct
 import zlib
 
+import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 from tests.llm import brute
 from vestigia.llm import bpe, chat, decontamination, html_text, jaccard, licenses, pii, quality, toxicity, urls
-from vestigia.llm.queries import QUERIES, TOKENIZER, URL_PARAMS
+from vestigia.llm.queries import ORACLES, QUERIES, TOKENIZER, URL_PARAMS
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, words int, h string, url string"
@@ -287,3 +288,47 @@ def test_op8_long_texts_and_clashing_columns(spark):
     found = pii.masked(rows)
     assert found.columns == rows.columns
     assert sorted((r.doc_id, r.text or "") for r in found.collect()) == [(1, "[IP] " * 20000), (2, ""), (2, "mail [EMAIL]")]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_base_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, SF).select(names).collect())
+
+
+def test_op2_links_orders_and_checks(spark):
+    schemas = {"t": {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}}
+    call = lambda i, a: json.dumps({"tool_calls": [{"id": i, "name": "t", "arguments": a}]})
+    answer = lambda i: json.dumps({"tool_call_id": i, "content": "r"})
+    talk = [(0, "user", "hi"), (1, "assistant", call("a", {"n": 1})), (2, "tool", answer("a")), (3, "assistant", call("b", {"n": {"$ref": "a"}})), (4, "tool", answer("zz")), (5, "assistant", call("c", {"n": True})), (6, "assistant", call("a", {"n": 2})), (7, None, None), (8, "assistant", "{broken")]
+    rows = spark.createDataFrame([(1, *t, "clash") for t in talk] + [(None, 1, "tool", answer("a"), "clash")], "conv_id long, turn long, role string, text string, level string")
+    found = {(r.conv_id, r.turn): r for r in chat.linked(rows, schemas).collect()}
+    told = {t: (found[1, t].n_calls, found[1, t].n_invalid, found[1, t].n_linked, found[1, t].level) for t in range(9)}
+    # An argument that refers to a result is no integer yet; the second call of an id links nothing of its own.
+    assert told[0] == (0, 0, 0, 0) and told[1] == (1, 0, 1, 0) and told[2] == (0, 0, 1, 1) and told[3] == (1, 1, 0, 2)
+    assert told[4] == (0, 0, 0, 0) and told[5] == (1, 1, 0, 0) and told[6][:2] == (1, 0) and told[7] == told[8] == (0, 0, 0, 0)
+    assert found[None, 1].n_linked == 0 and len(found) == 10
+
+
+def test_op5_estimate_equals_a_plain_version():
+    rng = random.Random(3)
+    patterns = {tuple(rng.choice((-1, 0, 1)) for _ in range(4)): rng.randrange(1, 90) for _ in range(40)}
+    accuracy = [0.8] * 4
+    for _ in range(200):
+        right, cast = [8.0] * 4, [10.0] * 4
+        for p, n in patterns.items():
+            good, bad = 0.5, 0.5
+            for v, a in zip(p, accuracy):
+                if v:
+                    good *= a if v > 0 else 1 - a
+                    bad *= a if v < 0 else 1 - a
+            for j, v in enumerate(p):
+                if v:
+                    cast[j] += n
+                    right[j] += n * (good if v > 0 else bad) / (good + bad)
+        accuracy = [min(max(r / c, 0.05), 0.995) for r, c in zip(right, cast)]
+    assert quality.estimate(patterns) == pytest.approx(tuple(accuracy), abs=1e-6)

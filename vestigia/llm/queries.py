@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, decontamination, html_text, jaccard, licenses, pii, quality, toxicity, urls
 
@@ -84,4 +85,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def url_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1: host, path and rule, and the verdicts of rules."""
+    found = urls.parsed(table(spark, sf_dir, "pages"), URL_PARAMS)
+    return found.select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"))
+
+
+def quality_counts_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op5: the counts and the base rules."""
+    counts = quality.counted(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
+QUERIES |= {f.__name__: f for f in (url_rules_base, quality_counts_base)}
+
+
+def _rule_sql() -> tuple[str, str]:
+    """The longest rule first, so that the first CASE that fits is the answer."""
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r.text), r.text))
+    fits = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN" for r in ordered]
+    return tuple("CASE " + " ".join(f"{f} '{what(r)}'" for f, r in zip(fits, ordered, strict=True)) + " END" for what in (lambda r: r.text, lambda r: r.verdict))
+
+
+_RULE, _VERDICT = _rule_sql()
+ORACLES: dict[str, str] = {
+    "url_rules_base": f"""SELECT page_id, host, path, {_RULE} AS rule, {_VERDICT} AS verdict FROM (SELECT page_id,
+        translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages))""",
+    "quality_counts_base": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM t),
+        p AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w),
+        g AS (SELECT doc_id, i, x || chr(1) || lead(x, 1) OVER o || chr(1) || lead(x, 2) OVER o AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
+        c AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY 1),
+        b AS (SELECT doc_id, len(ws) AS n_words, length(list_aggregate(ws, 'string_agg', '')) AS chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM w)
+        SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+            n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM b LEFT JOIN c USING (doc_id)""",
+}
