@@ -147,3 +147,10 @@ CACHE_SCRIPTS = (".ps1", ".bat", ".cmd", ".vbs", ".js", ".hta")
 CACHE_TOOLS = ("mimikatz", "procdump", "psexec", "lazagne")
 #: Columns shown for records of a kind when none are named; fixed values.
 SHOWN_COLUMNS = {"event_id": ("timestamp", "event_id", "provider_name", "channel", "computer"), "run_count": ("timestamp", "executable_name", "run_count"), "key_path": ("timestamp", "key_path", "value_name")}
+
+#: The columns that are shown of records whose data has the field.
+SHOWN_COLUMNS = {
+    "event_id": ("timestamp", "data.event_id", "data.channel", "data.record_number"),
+    "executable_name": ("timestamp", "data.executable_name", "data.run_count", "data.last_run_time"),
+    "key_path": ("data.key_path", "data.value_name", "data.value_type", "data.value_data"),
+}
