@@ -58,7 +58,7 @@ CELLS, MEASURED = 1 << 18, 1 << 16
 SMALL, MEETING = (4, 64), 0.05
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: How often signatures are counted anew after documents fell short; more rounds only save comparisons.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -215,51 +215,70 @@ def _order(measured: DataFrame, percent: int) -> Order:
     return Order(percent, np.floor(16 * np.log2(times[:CELLS] + 1)).astype(np.uint16), edge)
 
 
-def _signed(documents: DataFrame, order: Order, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc, sig, due, local) for each signature.
+def _marked(given: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(sig, doc, due, local) of arrays of sig, doc and due.
 
-    due is 4 * the number of signatures to share + the number of the part. local
-    tells whether the signature repeats among those held together: what is REPEATED
-    is known to be shared and need not meet the others, so a signature of a large
-    group goes to one place only once for each stretch of input.
+    local tells whether the signature repeats among those held together: what is REPEATED
+    is known to be shared and need not meet the others, so a signature of a large group
+    meets the others only once for each stretch of input.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(order)  # half a MB, whatever the corpus
-    names = ["doc", "sig", "due", "local"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owner, dues, held = [], [], [], 0
-        given = shared.value
+    def flush(held):
+        sig, doc, due = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(sig, kind="stable")
+        again = sig[order[1:]] == sig[order[:-1]]
+        before, after = np.append(False, again), np.append(again, False)
+        local = np.empty(len(sig), np.int8)
+        local[order] = np.where(before, REPEATED, np.where(after, FIRST, ALONE))
+        for i in range(0, len(sig), 50_000):
+            part = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(doc[part]), pa.array(due[part]), pa.array(local[part])], ["sig", "doc", "due", "local"])
+
+    held, size = [], 0
+    for rows in given:
+        if len(rows[0]):
+            held.append(rows)
+            size += len(rows[0])
+        if size > HELD:
+            yield from flush(held)
+            held, size = [], 0
+    if held:
+        yield from flush(held)
 
-        def flush():
-            sig, doc, due = np.concatenate(sigs).view(np.int64), np.concatenate(owner), np.concatenate(dues)
-            order = np.argsort(sig, kind="stable")
-            again = sig[order[1:]] == sig[order[:-1]]
-            before, after = np.append(False, again), np.append(again, False)
-            local = np.empty(len(sig), np.int8)
-            local[order] = np.where(before, REPEATED, np.where(after, FIRST, ALONE))
-            for i in range(0, len(sig), 50_000):
-                part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(sig[part]), pa.array(due[part]), pa.array(local[part])], names)
 
+MARKED = "sig long, doc long, due int, local byte"
+
+
+def _signed(documents: DataFrame, order: Order, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(sig, doc, due, local) for each signature; due is 4 * the number of signatures to share + the number of the part."""
+    shared = documents.sparkSession.sparkContext.broadcast(order)  # half a MB, whatever the corpus
+
+    def signatures(batches: Iterator[pa.RecordBatch]):
+        given = shared.value
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for part, need, found in given.signatures(shingles(text.as_py(), k)):
-                    sigs.append(found)
-                    owner.append(np.full(len(found), doc, np.int64))
-                    dues.append(np.full(len(found), 4 * need + part, np.int32))
-                    held += len(found)
-                if held > HELD:
-                    yield from flush()
-                    sigs, owner, dues, held = [], [], [], 0
-        if sigs:
-            yield from flush()
+                    yield found.view(np.int64), np.full(len(found), doc, np.int64), np.full(len(found), 4 * need + part, np.int32)
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc long, sig long, due int, local byte")
+    return rows.mapInArrow(lambda batches: _marked(signatures(batches)), MARKED)
+
 
+def _still(listed: DataFrame) -> DataFrame:
+    """(sig, doc, due, local) of signatures that are to meet once more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _marked(tuple(c.to_numpy() for c in batch.columns) for batch in batches)
 
-def _met(signed: DataFrame) -> DataFrame:
-    """(sig, doc, due) of the signatures that may be shared: neighbours in hash order are compared."""
+    return listed.select("sig", "doc", "due").mapInArrow(work, MARKED)
+
+
+def _met(marked: DataFrame) -> DataFrame:
+    """(sig, doc, due) of the signatures that may be shared: neighbours in hash order are compared.
+
+    All rows take one way, so that what made them runs once and no table of them is written;
+    REPEATED ones are dealt by document, the signature of a large group being no single key.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_met = None, False
@@ -277,9 +296,8 @@ def _met(signed: DataFrame) -> DataFrame:
         if last is not None and last_met:
             yield last.select([0, 1, 2])
 
-    rows = signed.select("sig", "doc", "due", "local")
-    ordered = rows.where(F.col("local") != REPEATED).repartition("sig").sortWithinPartitions("sig")
-    return ordered.mapInArrow(work, "sig long, doc long, due int").union(rows.where(F.col("local") == REPEATED).drop("local"))
+    way = F.when(F.col("local") == REPEATED, F.col("doc")).otherwise(F.col("sig"))
+    return marked.repartition(way).sortWithinPartitions("sig").mapInArrow(work, "sig long, doc long, due int")
 
 
 def _due(listed: DataFrame) -> DataFrame:
@@ -397,17 +415,15 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
     order = _order(measured, percent)
     sets = measured.where(F.col("doc").isNotNull()).select("doc", "n", "key")
     heads = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("head")), "heads")
-    signed = materialize(_signed(documents, order, id_col, text_col, words), "signed")
-    met = materialize(_met(signed), "met")
-    discard(signed)
+    met = materialize(_met(_signed(documents, order, id_col, text_col, words)), "met")
     listed = materialize(_due(met).join(heads.select(F.col("head").alias("doc")), "doc", "left_semi"), "listed")
     discard(met)
     # Copies are gone now, and documents that fell short: what only they shared no longer counts.
     for _ in range(ROUNDS):
-        kept = listed.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b").select("sig")
-        fewer = materialize(_due(listed.join(kept, "sig", "left_semi")), "listed")
+        met = materialize(_met(_still(listed)), "met")
         discard(listed)
-        listed = fewer
+        listed = materialize(_due(met), "listed")
+        discard(met)
     shared = listed.groupBy("doc").agg(F.count("sig").alias("n_shared"))
     central = (
         sets.join(heads.select(F.col("head").alias("doc")), "doc", "left_semi")
