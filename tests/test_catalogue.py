@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from vestigia import catalogue, control_queries, record_queries  # noqa: F401
+from vestigia import catalogue, control_queries, database_queries, record_queries  # noqa: F401
 from vestigia.plans.session import apply_semantics
 
 SF = "/root/testdata/sf0.01"

@@ -128,3 +128,32 @@ def recycled(rows: DataFrame) -> DataFrame:
     return told.withColumn("record_id", text.record_id(F.lit("recyclebin"), F.col("filename"), F.col("original_path")))
 
 
+
+
+def desktop_settings(rows: DataFrame) -> DataFrame:
+    """Per settings file of a remote desktop client: its settings and, where it names a server, server, port, username, domain.
+
+    A line is ``key:s:value`` or ``key:i:value``; of a key that repeats the last value holds.
+    A port that is no number is left out of the server's name and counts as 3389.
+    """
+    lines = F.transform(F.split(decoded(F.col("content")), LINE_ENDS), _stripped)
+    lines = F.filter(lines, lambda x: ~x.startswith(";") & (F.contains(x, F.lit(":s:")) | F.contains(x, F.lit(":i:"))))
+
+    def setting(line: Column) -> Column:
+        wide = F.contains(line, F.lit(":s:"))
+        at = F.when(wide, F.locate(":s:", line)).otherwise(F.locate(":i:", line))
+        return F.struct(_stripped(F.substr(line, F.lit(1), at - 1)).alias("key"), _stripped(F.substr(line, at + 3)).alias("value"), wide.alias("text"))
+
+    told = rows.select("path", F.transform(lines, setting).alias("found"))
+    last = lambda key: F.try_element_at(F.filter("found", lambda x: x["text"] & (F.lower(x["key"]) == key)), F.lit(-1))["value"]
+    address = F.coalesce(last("full address"), F.lit(""))
+    server = F.when(F.contains(address, F.lit(":")), F.regexp_extract(address, r"(?s)^(.*):[^:]*$", 1)).otherwise(address)
+    port = F.regexp_extract(address, r":\s*(\d+)\s*$", 1).try_cast("int")
+    return told.select(
+        "path",
+        F.map_from_entries(F.transform("found", lambda x: F.struct(x["key"], x["value"]))).alias("settings"),
+        F.nullif(server, F.lit("")).alias("server"),
+        F.when(server != "", F.coalesce(port, F.lit(3389))).alias("port"),
+        F.when(server != "", F.coalesce(last("username"), F.lit(""))).alias("username"),
+        F.when(server != "", F.coalesce(last("domain"), F.lit(""))).alias("domain"),
+    )
