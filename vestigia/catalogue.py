@@ -124,7 +124,8 @@ def page_next_keyset(spark, sf_dir):
 @query("""SELECT event_id, replace(replace(base64(encode('{"o":' || event_id || ',"t":"' || epoch_us(ts) || '","r":"evtx:' || event_id || '","n":' || user_id || '}')), '+', '-'), '/', '_') AS token FROM events""")
 def cursor_token(spark, sf_dir):
     told = records.cursor(F.col("event_id"), F.unix_micros("ts").cast("string"), F.concat(F.lit("evtx:"), F.col("event_id").cast("string")), F.col("user_id"))
-    return _events(spark, sf_dir).select("event_id", told.alias("token"))
+    whole = F.col("event_id").isNotNull() & F.col("ts").isNotNull() & F.col("user_id").isNotNull()
+    return _events(spark, sf_dir).select("event_id", F.when(whole, told).alias("token"))
 
 
 #: Event types of the test table as event log ids.

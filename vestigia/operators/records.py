@@ -64,7 +64,8 @@ def decode_cursor(token: str) -> dict:
 
 def cursor(offset: Column, time: Column, record: Column, count: Column) -> Column:
     told = F.format_string('{"o":%d,"t":"%s","r":"%s","n":%d}', offset, time, record, count)
-    return F.translate(F.base64(F.encode(told, "utf-8")), "+/", "-_")
+    # Spark breaks base64 into lines of 76 characters; what has no counterpart is left out.
+    return F.translate(F.base64(F.encode(told, "utf-8")), "+/\r\n", "-_")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
