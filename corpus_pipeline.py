@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vestigia.llm import bpe, decontamination, jaccard, pii, toxicity
+from vestigia.plans.session import apply_memory
 from vestigia.plans.storage import discard, materialize, recorded
 
 _made: dict[str, list[DataFrame]] = {}
@@ -35,6 +36,7 @@ def _stage(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for name in [n for n in _made if n != function.__name__]:
             discard(*(t for t in _made.pop(name) if t.sparkSession.sparkContext is spark.sparkContext))
+        apply_memory(spark)  # holds for the result too, which the caller writes
         with recorded() as tables:
             out = function(spark, docs, sf_dir)
         _made.setdefault(function.__name__, []).extend(tables)

@@ -5,7 +5,7 @@ pairs: the root holds the lowest rank, descending to the left on ties gives the
 leftmost one, and a merge changes three leaves, so a pre-token of n bytes takes
 O(n log n) however long it is. Short pre-tokens are merged many at a time, the
 trees standing side by side in one array. Pre-tokens recur, so each Python worker
-keeps bounded tables of those it has already merged.
+keeps bounded tables of those it has already merged, for as long as it does nothing else.
 
 Defined cases: a null text counts as empty and gives no ids; repeated rows are
 encoded each for itself; columns other than the id and the text are ignored.
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.workers import keeps, lean
+
 #: Pieces up to this many characters are remembered, at most so many per worker and table.
 CACHED_CHARS, CACHED_PIECES = 64, 400_000
 #: Texts are taken in groups of about this many characters.
@@ -320,7 +322,8 @@ _codecs: dict[int, Codec] = {}
 
 
 def _codec(model_json: bytes) -> Codec:
-    """One codec per worker process and vocabulary."""
+    """One codec per worker process and vocabulary, until another operator needs the worker."""
+    keeps("bpe", _codecs.clear)
     key = hash(model_json)
     if key not in _codecs:
         _codecs.clear()
@@ -337,7 +340,7 @@ def _run(df: DataFrame, tokenizer_path: str, columns: tuple[str, str], schema: s
         for batch in batches:
             yield row(codec, batch.column(0), batch.column(1))
 
-    return df.select(*columns).mapInArrow(work, schema)
+    return df.select(*columns).mapInArrow(lean(work, "bpe"), schema)
 
 
 def _encoded(codec: Codec, texts: pa.Array) -> list[bytes]:

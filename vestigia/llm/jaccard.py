@@ -51,6 +51,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.storage import discard, materialize
+from ..plans.workers import lean
 
 #: Cells of the element counts, and of each of the two tables for measuring list lengths.
 CELLS, MEASURED = 1 << 18, 1 << 16
@@ -202,7 +203,7 @@ def _measured(documents: DataFrame, id_col: str, text_col: str, k: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(part.astype(np.int32)), pa.array(times[part])], names)
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc long, n long, key binary, cell int, times long")
+    return rows.mapInArrow(lean(work), "doc long, n long, key binary, cell int, times long")
 
 
 def _order(measured: DataFrame, percent: int) -> Order:
@@ -261,7 +262,7 @@ def _signed(documents: DataFrame, order: Order, id_col: str, text_col: str, k: i
                     yield found.view(np.int64), np.full(len(found), doc, np.int64), np.full(len(found), 4 * need + part, np.int32)
 
     rows = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _marked(signatures(batches)), MARKED)
+    return rows.mapInArrow(lean(lambda batches: _marked(signatures(batches))), MARKED)
 
 
 def _still(listed: DataFrame) -> DataFrame:
@@ -270,7 +271,7 @@ def _still(listed: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _marked(tuple(c.to_numpy() for c in batch.columns) for batch in batches)
 
-    return listed.select("sig", "doc", "due").mapInArrow(work, MARKED)
+    return listed.select("sig", "doc", "due").mapInArrow(lean(work), MARKED)
 
 
 def _met(marked: DataFrame) -> DataFrame:
@@ -297,7 +298,7 @@ def _met(marked: DataFrame) -> DataFrame:
             yield last.select([0, 1, 2])
 
     way = F.when(F.col("local") == REPEATED, F.col("doc")).otherwise(F.col("sig"))
-    return marked.repartition(way).sortWithinPartitions("sig").mapInArrow(work, "sig long, doc long, due int")
+    return marked.repartition(way).sortWithinPartitions("sig").mapInArrow(lean(work), "sig long, doc long, due int")
 
 
 def _due(listed: DataFrame) -> DataFrame:
@@ -335,7 +336,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     near = wanted.hint("broadcast") if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
-    return rows.join(near, "doc").select("doc", "leads", "text").mapInArrow(work, "doc long, leads boolean, elements binary")
+    return rows.join(near, "doc").select("doc", "leads", "text").mapInArrow(lean(work), "doc long, leads boolean, elements binary")
 
 
 def _as_set(packed) -> np.ndarray:
@@ -364,7 +365,7 @@ def _compare(pairs: DataFrame, t: int) -> DataFrame:
                     ["leader", "doc", "size", "differs", "linked", "elements"],
                 )
 
-    return pairs.select("leader", "doc", "a", "b").mapInArrow(work, "leader long, doc long, size long, differs long, linked boolean, elements binary")
+    return pairs.select("leader", "doc", "a", "b").mapInArrow(lean(work), "leader long, doc long, size long, differs long, linked boolean, elements binary")
 
 
 def _exploded(stars: DataFrame) -> DataFrame:
@@ -385,7 +386,7 @@ def _exploded(stars: DataFrame) -> DataFrame:
                     ["leader", "doc", "element"],
                 )
 
-    return stars.select("leader", "doc", "elements").mapInArrow(work, "leader long, doc long, element long")
+    return stars.select("leader", "doc", "elements").mapInArrow(lean(work), "leader long, doc long, element long")
 
 
 def _verified(pairs: DataFrame, t: int) -> DataFrame:
@@ -401,7 +402,7 @@ def _verified(pairs: DataFrame, t: int) -> DataFrame:
                 keep[i] = 100 * (union - apart) >= t * union
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep))
 
-    return pairs.select("x", "y", "nx", "ny", "dx", "dy").mapInArrow(work, "src long, dst long")
+    return pairs.select("x", "y", "nx", "ny", "dx", "dy").mapInArrow(lean(work), "src long, dst long")
 
 
 def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -456,7 +457,7 @@ def classes(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str
     )
     nameless = documents.where(F.col(id_col).isNull())
     if nameless.limit(1).count():
-        sizes = nameless.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(shingles(x.as_py(), words)) for x in b.column(0)], pa.int64())], ["n"]) for b in batches), "n long")
+        sizes = nameless.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(shingles(x.as_py(), words)) for x in b.column(0)], pa.int64())], ["n"]) for b in batches)), "n long")
         out = out.union(sizes.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
     return out
 

@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.workers import lean
+
 LOW, HIGH = -4, 7
 
 
@@ -180,7 +182,7 @@ def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", tex
             scores = [scorer.score(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
-    return documents.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(work, f"{id_col} long, score double")
+    return documents.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(lean(work), f"{id_col} long, score double")
 
 
 def kept(documents: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -195,7 +197,7 @@ def kept(documents: DataFrame, model: Model | None, text_col: str = "text", thre
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t.as_py() or "") < threshold for t in batch.column(place)], pa.bool_()))
 
-    return documents.mapInArrow(work, documents.schema)
+    return documents.mapInArrow(lean(work), documents.schema)
 
 
 def judge(documents: DataFrame, labels: DataFrame, params: Params | None = None) -> DataFrame:

@@ -10,6 +10,9 @@ SEMANTIC_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+#: Arrow batches to and from Python lie beside the heap and in the worker at once; by rows alone 10,000 texts or sets are one batch.
+MEMORY_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
 
 def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A single-machine session for tests and benches; a cluster brings its own."""
@@ -34,3 +37,11 @@ def apply_semantics(spark: SparkSession) -> SparkSession:
     for key, value in SEMANTIC_CONF.items():
         spark.conf.set(key, value)
     return spark
+
+
+def apply_memory(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes, unless the session has a bound of its own."""
+    for key, value in MEMORY_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark

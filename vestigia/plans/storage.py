@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import MEMORY_CONF, apply_memory
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
@@ -54,15 +56,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vestigia/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
+    before = {key: spark.conf.get(key, None) for key in (CLEANUP, *MEMORY_CONF)}
     spark.conf.set(CLEANUP, "true")
+    apply_memory(spark)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._vestigia_path = path
     for tables in _recorders:
