@@ -30,7 +30,9 @@ from ..plans.workers import keeps, lean
 #: Pieces up to this many characters are remembered, at most so many per worker and table.
 CACHED_CHARS, CACHED_PIECES = 64, 400_000
 #: Texts are taken in groups of about this many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
+#: Cells of the trees that stand side by side, some 90 bytes each while they are merged.
+MERGED_CELLS = 1 << 17
 NONE = 1 << 62
 
 
@@ -242,7 +244,8 @@ class Codec:
             if width > 64:
                 packed = [np.array(self.merge(raw), "<u4").tobytes() for _, raw in group]
             else:
-                packed = self.merge_many([raw for _, raw in group], width)
+                at_once = MERGED_CELLS // width
+                packed = [p for i in range(0, len(group), at_once) for p in self.merge_many([raw for _, raw in group[i : i + at_once]], width)]
             out.update(zip((w for w, _ in group), packed, strict=True))
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
