@@ -13,7 +13,7 @@ import pyarrow as pa
 
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Freed memory goes back to the system each time that so many bytes have come in, and at a task's end.
-RETURN_EACH = 32 << 20
+RETURN_EACH = 8 << 20
 
 _kept: dict[str, Callable[[], None]] = {}
 try:
